@@ -15,7 +15,7 @@ from rastrel.llm._io import materialise, table
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule table keeps."""
-    return quality_rules.judge(docs).where("kept").select(docs.columns)
+    return quality_rules.keep(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

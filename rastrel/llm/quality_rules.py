@@ -105,3 +105,12 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     failed = failed | (F.lit(100) * F.col("n_repeat_words") > next((r.most for r in rules if r.metric == "repeat_percent"), 100) * F.col("n_words"))
     rest = compile_rules(tuple(r for r in rules if r.metric not in BASE))
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & rest)
+
+
+def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that judge() keeps.
+
+    A filter on plain columns would be pushed below the projections and compute their arrays over and over;
+    a verdict that depends on a row number isn't, so every array is made once."""
+    found = judge(docs, text_col, rules).select(*docs.columns, (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("__kept"))
+    return found.where("__kept").select(docs.columns)
