@@ -8,6 +8,7 @@ norm of what remains (or has the largest weighted dot-product with what the piec
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -37,25 +38,61 @@ class Capacity(NamedTuple):
     attention: int = TOKENS * TOKENS
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the rest follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
-    """A tokenizer whose pieces never span white space, so that each chunk between spaces is looked up."""
+    """A tokenizer whose pieces never span white space, so that each chunk between spaces is looked up.
+
+    New chunks of letters below U+0250, with or without one full stop or comma, are lower-cased and go to the model
+    at once: neither composing nor splitting changes them. All others take the tokenizer's whole way."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case word of letters below U+0250."""
+        found = self.known.get(word)
+        if found is None:
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = self.known[word] = _packed([t.id for t in self.model.tokenize(spelled)])
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        other = []
+        for chunk in new:
+            low = chunk.lower()
+            word = low[:-1] if low[-1] in ".," else low
+            if word.isalpha() and len(low) == len(chunk) and max(chunk) < "\u0250":
+                self.known[chunk] = self._word(word) + (self.known[low[-1]] if word is not low else b"")
+            else:
+                other.append(chunk)
+        for chunk, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[chunk] = _packed(found.ids)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each whole text."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        known[""] = b""
-        new = [c for c in {c for chunks in split for c in chunks} if c not in known]
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, "<u4").tobytes()
+        if not known:
+            known[""] = b""
+            self._learn([".", ","])
+        self._learn([c for c in {c for chunks in split for c in chunks} if c not in known])
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
