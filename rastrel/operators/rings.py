@@ -176,7 +176,7 @@ def fit_rounded_rectangle(points: DataFrame, steps: int = 16, key: str = KEY) ->
     tried = _local(points, key).select("*", share.alias("part")).withColumn("radius", c("part") * 0.48 * short)
     away = F.abs(signed_round_box(c("u"), c("v"), c("half_u"), c("half_v"), c("radius"))) / F.greatest(F.lit(1.0), short)
     by = tried.groupBy(key, "cx", "cy", "half_u", "half_v", "angle", "radius").agg(F.avg(away).alias("mean_error"), F.max(away).alias("max_error"))
-    best = by.groupBy(key, "cx", "cy", "half_u", "half_v", "angle").agg(F.min(F.struct("mean_error", "radius", "max_error")).alias("b")).select("*", "b.*").drop("b")
+    best = by.groupBy(key, "cx", "cy", "half_u", "half_v", "angle").agg(F.min(F.struct(F.round("mean_error", 9).alias("e"), "radius", "mean_error", "max_error")).alias("b")).select("*", "b.*").drop("b", "e")
     filled = 4 * c("half_u") * c("half_v") - (4 - F.pi()) * c("radius") * c("radius")
     score = confidence(falling(c("mean_error"), 0, 0.07), falling(c("max_error"), 0, 0.14), falling(F.abs(1 - c("area") / filled), 0, 0.18), 1 - falling(c("radius") / short, 0.12, 0.38))
     return best.join(area, key).where(short > 1e-6).select(
