@@ -1,2 +1,138 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries whose steps depend on order or iterate: array kernels for each image or ring."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rastrel.operators import pixels
+from rastrel.plans import pipelines
+from rastrel.sources.procedural import pixels as raster
+from rastrel.sources.procedural import rings as event_rings
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.rasters(pixels.mask(raster(spark, sf_dir)))
+
+
+def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings as two arrays a row."""
+    points = event_rings(spark, sf_dir).groupBy("ring_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    return points.select("ring_id", F.transform("p", lambda q: q["x"]).alias("xs"), F.transform("p", lambda q: q["y"]).alias("ys"))
+
+
+def _per_ring(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([{"ring_id": r.ring_id} | kernel(np.stack([r.xs, r.ys], 1)) for r in frame.itertuples()], columns=["ring_id", *[f.split()[0] for f in schema.split(", ")]])
+
+    return rows.mapInPandas(run, f"ring_id long, {schema}")
+
+
+def _per_mask(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                mask = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width) != 0
+                out += [{"image_id": r.image_id} | row for row in kernel(mask)]
+            yield pd.DataFrame(out, columns=["image_id", *[f.split()[0] for f in schema.split(", ")]])
+
+    return rows.mapInPandas(run, f"image_id long, {schema}")
+
+
+def small_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set cells before and after components of fewer than 40 cells go."""
+    from rastrel.kernels import raster as kernels
+
+    return _per_mask(_rasters(spark, sf_dir), lambda m: [{"n_before": int(m.sum()), "n_after": int(kernels.remove_small(m, 40).sum())}], "n_before long, n_after long")
+
+
+def tiny_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set cells before and after holes of at most 40 cells are filled."""
+    from rastrel.kernels import raster as kernels
+
+    return _per_mask(_rasters(spark, sf_dir), lambda m: [{"n_before": int(m.sum()), "n_after": int(kernels.fill_holes(m, 40).sum())}], "n_before long, n_after long")
+
+
+def contour_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rastrel.kernels import raster as kernels
+
+    def kernel(mask: np.ndarray) -> list[dict]:
+        return [{"contour": b["id"], "parent": -1 if b["parent"] is None else b["parent"], "hole": b["hole"], "depth": b["depth"], "points": len(b["cells"])} for b in kernels.borders(mask)]
+
+    return _per_mask(_rasters(spark, sf_dir), kernel, "contour int, parent int, hole boolean, depth int, points long")
+
+
+def cleanup_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rastrel.kernels import ring
+
+    def kernel(p: np.ndarray) -> dict:
+        q = ring.clean(p, gap=0.5)
+        return {"points": len(p), "kept": len(q), "area": round(ring.area(q), 6)}
+
+    return _per_ring(_arrays(spark, sf_dir), kernel, "points long, kept long, area double")
+
+
+def douglas_peucker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rastrel.kernels import ring
+
+    return _per_ring(_arrays(spark, sf_dir), lambda p: {"points": len(p), "kept": len(ring.simplify_closed(p, 2.0))}, "points long, kept long")
+
+
+def schneider_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rastrel.kernels import curves, ring
+
+    def kernel(p: np.ndarray) -> dict:
+        found = curves.fit_closed(p, ring.hard_corners(p), 2.0)
+        return {"curves": len(found), "path": curves.path(found)}
+
+    return _per_ring(_arrays(spark, sf_dir), kernel, "curves long, path string")
+
+
+def enclosing_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rastrel.kernels import ring
+
+    return _per_ring(_arrays(spark, sf_dir), lambda p: dict(zip(("cx", "cy", "r"), (round(v, 6) for v in ring.enclosing_circle(p)), strict=True)), "cx double, cy double, r double")
+
+
+def circular_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arc through the first half of each ring."""
+    from rastrel.kernels import curves
+
+    names = ("cx", "cy", "r", "start", "sweep", "confidence")
+    return _per_ring(_arrays(spark, sf_dir), lambda p: {k: round(v, 6) for k, v in (curves.arc_fit(p[: len(p) // 2 + 1]) or dict.fromkeys(names, float("nan"))).items()}, ", ".join(f"{n} double" for n in names))
+
+
+def shape_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rastrel.kernels import ring
+
+    def kernel(p: np.ndarray) -> dict:
+        d = ring.describe(p)
+        return {k: round(float(d[k]), 6) for k in ("area", "perimeter", "circularity", "solidity", "aspect", "symmetry")} | {"corners": d["corners"], "extrema": d["extrema"]}
+
+    return _per_ring(_arrays(spark, sf_dir), kernel, "area double, perimeter double, circularity double, solidity double, aspect double, symmetry double, corners int, extrema int")
+
+
+def shape_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region shapes of the rasters with their kinds."""
+    return pipelines.shapes(_rasters(spark, sf_dir)).select("image_id", "region", "kind", "n_holes", F.round("area", 6).alias("area"))
+
+
+def v1_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.to_svg(_rasters(spark, sf_dir))
+
+
+def v2_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.to_svg(_rasters(spark, sf_dir), primitive_first=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (small_components, tiny_holes, contour_trace, cleanup_ring, douglas_peucker, schneider_fit, enclosing_circle, circular_arc, shape_descriptors, shape_classes, v1_svg, v2_svg)
+}
+SQL: dict[str, str] = {}
