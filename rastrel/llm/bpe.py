@@ -9,6 +9,7 @@ Appending bytes adds entries; an edit keeps the entries of all bytes before it.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -16,7 +17,9 @@ import numpy as np
 import regex
 
 #: Distinct chunks whose ids a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Key of a token in a table by byte.
+END = -1
 
 
 class Vocabulary:
@@ -35,14 +38,15 @@ class Vocabulary:
                 self.merged[parts[0], parts[1]] = i
             else:
                 self.halves.append((i, i))
-        #: Every ending of a token -> the token that it is, or -1; ends the search for tokens that end at a byte.
-        self.endings: dict[bytes, int] = {}
-        for t in tokens:
-            for k in range(len(t)):
-                self.endings.setdefault(t[k:], -1)
+        #: Tokens spelled backwards as nested tables by byte, with a token's id at END: walking down from a byte
+        #: meets every token that ends there, shortest first.
+        self.endings: dict = {}
         for i, t in enumerate(tokens):
             if len(t) == 1 or self.halves[i][0] != i:  # else merging never makes it
-                self.endings[t] = i
+                node = self.endings
+                for byte in reversed(t):
+                    node = node.setdefault(byte, {})
+                node[END] = i
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def joined(self, left: int, right: int) -> bool:
@@ -101,6 +105,15 @@ def load_ranks(path: str) -> list[bytes]:
     return [found[k] for k in range(len(found))]
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    for k in range(n):
+        if a[k] != b[k]:
+            return k
+    return n
+
+
 class PrefixEncoder:
     """The encoding of a growing or edited byte string: `last` holds each prefix's last token."""
 
@@ -111,13 +124,16 @@ class PrefixEncoder:
     def append(self, more: bytes) -> None:
         """Extend the text: O(1) table entries for each new byte."""
         text, last = self.text + more, self.last
-        endings, joined = self.vocabulary.endings.get, self.vocabulary.joined
+        root, joined = self.vocabulary.endings, self.vocabulary.joined
         for end in range(len(self.text) + 1, len(text) + 1):
-            start, found = end - 1, []
-            while start >= 0 and (token := endings(text[start:end])) is not None:
-                if token >= 0:
-                    found.append((start, token))
+            node, start, found = root, end, []
+            while start:
+                node = node.get(text[start - 1])
+                if node is None:
+                    break
                 start -= 1
+                if END in node:
+                    found.append((start, node[END]))
             for start, token in reversed(found):
                 if not start or joined(last[start - 1], token):
                     last.append(token)
@@ -142,26 +158,6 @@ class PrefixEncoder:
         return out[::-1]
 
 
-class _Chunks(dict):
-    """Little-endian ids of " " + chunk (spaced) or of chunk, made on first use."""
-
-    def __init__(self, codec: Codec, lead: str):
-        super().__init__()
-        self.codec, self.lead = codec, lead
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Uncut
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[chunk] = self.codec.pieces(self.lead + chunk)
-        return found
-
-
-class _Uncut(Exception):
-    """A text's spaces are not all between two other characters."""
-
-
 class Codec:
     """encode() and decode() for whole texts: each match of `pattern` is encoded by itself."""
 
@@ -170,38 +166,62 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.table = tokens
         self.sizes = np.array([len(t) for t in tokens], np.int64)
+        #: Little-endian ids of pieces, and of " " + chunk; None for a chunk that a text must not be cut at.
         self.known: dict[str, bytes] = {}
-        self.spaced, self.bare = _Chunks(self, " "), _Chunks(self, "")
+        self.spaced: dict[str, bytes | None] = {}
 
-    def piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            raw = piece.encode()
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Encode new pieces in byte order, so that each goes on from the prefix that it shares with the one before."""
+        table = PrefixEncoder(self.vocabulary)
+        for raw in sorted({p.encode() for p in pieces}):
             whole = self.vocabulary.ids.get(raw)
-            ids = [whole] if whole is not None else PrefixEncoder(self.vocabulary, raw).ids()
-            found = np.array(ids, "<u4").tobytes()
-            if len(piece) <= 64:
-                self.known[piece] = found
-        return found
-
-    def pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.find(text)))
+            if whole is None:
+                shared = _common(table.text, raw)
+                table.edit(shared, len(table.text) - shared, raw[shared:])
+                ids = table.ids()
+            else:
+                ids = [whole]
+            self.known[raw.decode()] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunks(self, chunks: set[str]) -> None:
+        """Remember new chunks. A chunk that is empty or has space at an end stands at a run of spaces."""
+        cut = {c: None if not c or c[0].isspace() or c[-1].isspace() else self.find(" " + c) for c in chunks}
+        self._learn({p for pieces in cut.values() if pieces for p in pieces if p not in self.known})
+        for c, pieces in cut.items():
+            self.spaced[c] = None if pieces is None else b"".join(map(self.known.__getitem__, pieces))
+
+    def _pieces(self, text: str) -> bytes:
+        pieces = self.find(text)
+        self._learn({p for p in pieces if p not in self.known})
+        return b"".join(map(self.known.__getitem__, pieces))
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts.
+
+        A single space between two other characters always starts a match of the pattern, so a text may be cut
+        there and repeated chunks looked up; a text with other spaces is matched as a whole."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if len(self.spaced) > REMEMBERED:
+            self.spaced.clear()
+        split = [(t or "").split(" ") for t in texts]
+        self._chunks({c for first, *rest in split for c in rest}.difference(self.spaced))
+        out = []
+        for text, (first, *rest) in zip(texts, split, strict=True):
+            if not text:
+                out.append(np.zeros(0, "<u4"))
+                continue
+            try:
+                if rest and first[-1:].isspace():
+                    raise TypeError
+                packed = self._pieces(first) + b"".join(map(self.spaced.__getitem__, rest))
+            except TypeError:  # None among the chunks
+                packed = self._pieces(text)
+            out.append(np.frombuffer(packed, "<u4"))
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text.
-
-        A single space between two other characters always starts a match of the pattern, so the
-        text may be cut there and repeated chunks looked up; a text with other spaces is matched as a whole."""
-        if not text:
-            return np.zeros(0, "<u4")
-        first, *rest = text.split(" ")
-        try:
-            packed = self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
-        except _Uncut:
-            packed = self.pieces(text)
-        return np.frombuffer(packed, "<u4")
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
@@ -223,7 +243,7 @@ def encode_documents(docs, path: str, pattern: str, id_col: str = "doc_id", text
 
     def kernel(batch: pa.RecordBatch) -> dict:
         own = codec(path, pattern)
-        found = [own.encode(t or "") for t in batch.column(text_col).to_pylist()]
+        found = own.encode_batch(batch.column(text_col).to_pylist())
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         flat = pa.array(np.concatenate(found).astype(np.int32))
         return {id_col: batch.column(id_col), "ids": pa.ListArray.from_arrays(pa.array(ends), flat)}
@@ -260,8 +280,7 @@ def round_trip(docs, path: str, pattern: str, id_col: str = "doc_id", text_col:
         own = codec(path, pattern)
         names = decimal_names(len(own.table))
         counts, digests, back = [], [], []
-        for text in batch.column(text_col).to_pylist():
-            ids = own.encode(text or "").tolist()
+        for ids in map(np.ndarray.tolist, own.encode_batch(batch.column(text_col).to_pylist())):
             counts.append(len(ids))
             digests.append(hashlib.sha256(b" ".join(map(names.__getitem__, ids))).hexdigest())
             back.append(hashlib.sha256(own.decode(ids)).hexdigest())

@@ -81,7 +81,9 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.drop("__grams").withColumn("__places", F.array_sort(F.transform(twice, lambda x: x["i"])))
     covered = F.transform("__places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__places", k + 1) - p, F.lit(WINDOW))))
     repeat = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
-    step = step.drop("__placed").withColumn("n_repeat_words", repeat)
+    # A filter on plain columns would be pushed below the projections and compute their arrays over and over;
+    # one on a value that depends on a row number isn't.
+    step = step.drop("__placed").withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, repeat))
     ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
     return step.select(
         *columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -108,9 +110,5 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
 
 
 def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that judge() keeps.
-
-    A filter on plain columns would be pushed below the projections and compute their arrays over and over;
-    a verdict that depends on a row number isn't, so every array is made once."""
-    found = judge(docs, text_col, rules).select(*docs.columns, (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("__kept"))
-    return found.where("__kept").select(docs.columns)
+    """The rows of docs that judge() keeps."""
+    return judge(docs, text_col, rules).where("kept").select(docs.columns)

@@ -56,9 +56,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
         texts = batch.column(text_col).to_pylist()
         listed = batch.column(sections_col).to_pylist() if sections_col else [None] * len(texts)
         counts, crossings, parts = [], [], []
-        for text, ends in zip(texts, listed, strict=True):
+        for text, ends, ids in zip(texts, listed, own.encode_batch(texts), strict=True):
             raw = (text or "").encode()
-            stops = np.cumsum(own.sizes[own.encode(text or "")])
+            stops = np.cumsum(own.sizes[ids])
             if sections_col:
                 leads = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
                 at = np.r_[leads, len(raw)][np.clip(np.array(ends or [], np.int64), 0, len(leads))]
