@@ -21,9 +21,9 @@ def _cells(cells: DataFrame) -> DataFrame:
 
 
 def svg_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discs among the rasters from pixels to markup."""
+    """Discs among the rasters from pixels to markup; opening the mask takes specks away."""
     discs = raster(spark, sf_dir).where(F.col("image_id") % 5 == 0)
-    found = pixels.moments(pixels.mask(discs))
+    found = pixels.moments(pixels.binary_open(pixels.mask(discs)))
     r = (F.col("max_x") - F.col("min_x") + F.col("max_y") - F.col("min_y") + 2) / 4
     markup = F.concat(F.lit('<circle cx="'), format_number(F.col("cx")), F.lit('" cy="'), format_number(F.col("cy")), F.lit('" r="'), format_number(r), F.lit('" fill="#000000"/>'))
     return found.select("image_id", "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round(r, 6).alias("r"), markup.alias("markup"))
@@ -129,8 +129,8 @@ vo AS (SELECT image_id, ix, sum(CAST(x = 0 AS INT) + CAST(x = {SIDE - 1} AS INT)
 bg AS (SELECT image_id, CASE WHEN CAST(max(v) AS DOUBLE) / sum(v) >= 0.35 THEN arg_max(ix, (v, -ix)) END AS background, CAST(max(v) AS DOUBLE) / sum(v) AS support FROM vo GROUP BY 1)"""
 
 SQL = {
-    "svg_discs": f"""WITH {_MASK},
-mo AS (SELECT image_id, count(*) AS area, sum(x) / count(*) + 0.5 AS cx, sum(y) / count(*) + 0.5 AS cy, (max(x) - min(x) + max(y) - min(y) + 2) / 4.0 AS r FROM m0 WHERE m AND image_id % 5 = 0 GROUP BY 1),
+    "svg_discs": f"""WITH {_MASK}, {_near('m0', 'm1', True)}, {_near('m1', 'm2', False)},
+mo AS (SELECT image_id, count(*) AS area, sum(x) / count(*) + 0.5 AS cx, sum(y) / count(*) + 0.5 AS cy, (max(x) - min(x) + max(y) - min(y) + 2) / 4.0 AS r FROM m2 WHERE m AND image_id % 5 = 0 GROUP BY 1),
 tx AS (SELECT *, regexp_replace(regexp_replace(printf('%.2f', cx), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS tx, regexp_replace(regexp_replace(printf('%.2f', cy), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS ty, regexp_replace(regexp_replace(printf('%.2f', r), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS tr FROM mo)
 SELECT image_id, area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(CAST(r AS DOUBLE), 6) AS r, '<circle cx="' || tx || '" cy="' || ty || '" r="' || tr || '" fill="#000000"/>' AS markup FROM tx""",
     "otsu_threshold": f"WITH {PIXELS_SQL}, {_OTSU} SELECT * FROM ot",

@@ -26,7 +26,8 @@ def _inside(kind: Column, size: Column, u: Column, v: Column) -> Column:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, x, y, r, g, b, a, grey int) for every part: a dark shape on a light ground.
+    """(image_id, x, y, r, g, b, a, grey int) for every part: a dark shape on a light ground, and one cell of middle
+    grey, so that a threshold lies between both.
 
     The raster is generated row by row from the part, so nothing is joined or shuffled."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
@@ -45,7 +46,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("inside"), 30 * (F.col("size") % 6)).otherwise(240).cast("int").alias("g"),
         F.when(F.col("inside"), 90).otherwise(240).cast("int").alias("b"),
         F.lit(255).alias("a"),
-        F.when(F.col("inside"), 40 + F.col("size")).otherwise(ground).cast("int").alias("grey"),
+        F.when(F.col("inside"), 40 + F.col("size")).when((F.col("x") == 0) & (F.col("y") == 0), 110).otherwise(ground).cast("int").alias("grey"),
     )
 
 
@@ -55,7 +56,7 @@ PIXELS_SQL = f"""px AS (
     CAST(CASE WHEN inside THEN 25 * m + CASE WHEN y < {SIDE // 2} THEN 6 ELSE 0 END ELSE 240 END AS INTEGER) AS r,
     CAST(CASE WHEN inside THEN 30 * (size % 6) ELSE 240 END AS INTEGER) AS g,
     CAST(CASE WHEN inside THEN 90 ELSE 240 END AS INTEGER) AS b, 255 AS a,
-    CAST(CASE WHEN inside THEN 40 + size ELSE 200 + (7 * x + 13 * y) % 40 END AS INTEGER) AS grey
+    CAST(CASE WHEN inside THEN 40 + size WHEN x = 0 AND y = 0 THEN 110 ELSE 200 + (7 * x + 13 * y) % 40 END AS INTEGER) AS grey
   FROM (SELECT *, CASE image_id % 5
       WHEN 0 THEN u * u + v * v <= reach * reach
       WHEN 1 THEN abs(u) <= reach AND abs(v) <= reach
