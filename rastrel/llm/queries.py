@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm import bpe, chat_format, fingerprint, license_scan, packing, quality_model, quality_rules, simhash, substring_dedup, token_counts
+from rastrel.llm import bpe, chat_format, fingerprint, license_scan, oracles, packing, quality_model, quality_rules, simhash, substring_dedup, token_counts
 from rastrel.llm._io import table
 
 
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
