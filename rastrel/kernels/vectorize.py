@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from rastrel.kernels import curves, raster, ring
+from rastrel.kernels import curves, decompose, raster, ring
 
 
 def regions(mask: np.ndarray, least_area: float = 32, least_hole: float = 16, scale: tuple[float, float] = (1.0, 1.0), subpixel: bool = True) -> list[dict]:
@@ -59,9 +59,12 @@ def fit_freeform(p: np.ndarray, hole: bool) -> dict:
     """Curves if they pass the gate, at two tolerances, else the simplified ring, else the ring as it is."""
     corners = ring.hard_corners(p, 60.0)
     for error in (2.0, 1.2):
-        found = curves.fit_closed(p, corners, error)
+        found = decompose.merge_short(curves.fit_closed(p, corners, error))
         if found and ring.passes_gate(curves.sample(found), p, hole):
             return {"kind": "curves", "path": curves.path(found), "segments": len(found)}
+    found = decompose.spline_loop(p)
+    if ring.passes_gate(curves.sample(found), p, hole):
+        return {"kind": "spline", "path": curves.path(found), "segments": len(found)}
     for tolerance in (0.8, 0.5):
         q = ring.simplify_closed(p, tolerance)
         if ring.passes_gate(q, p, hole):
@@ -92,7 +95,7 @@ def fit_primitive_first(p: np.ndarray, hole: bool) -> dict:
     round_ = ring.circle(p, d)
     tried = []
     for order, shape in enumerate((round_, ring.ellipse(p, d, None), ring.rounded_rectangle(p, d), ring.rectangle(p, d))):
-        if shape is None:
+        if shape is None or hole and shape["kind"] not in ("circle", "ellipse"):
             continue
         least, low, high, bonus = _FIRST[shape["kind"]]
         sure = shape["fit"] + (0.04 if hole and shape["kind"] in ("circle", "ellipse") else 0.0)
@@ -105,6 +108,9 @@ def fit_primitive_first(p: np.ndarray, hole: bool) -> dict:
         if sure >= least - (0.03 if hole else 0.0) and low <= ratio <= high and near[0] <= aspect <= near[1] and inner and ring.passes_gate(ring.outline(shape), p, hole):
             tried.append((sure + bonus, -order, shape))
     if not tried:
+        found = decompose.loop(p)
+        if found and ring.passes_gate(curves.sample(found), p, hole):
+            return {"kind": "curves", "path": curves.path(found), "segments": len(found)}
         return fit_freeform(p, hole)
     shape = max(tried, key=lambda t: t[:2])[2]
     return {"kind": shape["kind"], "segments": 1, "path": curves.path(curves.fit_closed(ring.outline(shape), set(), 0.5)), **{k: float(shape[k]) for k in ("cx", "cy", "rx", "ry", "angle", "radius")}}

@@ -118,6 +118,33 @@ def shape_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_ring(_arrays(spark, sf_dir), kernel, "area double, perimeter double, circularity double, solidity double, aspect double, symmetry double, corners int, extrema int")
 
 
+def straight_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rastrel.kernels import decompose
+
+    def kernel(p: np.ndarray) -> dict:
+        marks = decompose.anchors(p, 2.0)
+        found = decompose.straight_runs(p, marks, 2.0)
+        return {"anchors": len(marks), "runs": len(found), "length": round(sum(r["length"] for r in found), 6)}
+
+    return _per_ring(_arrays(spark, sf_dir), kernel, "anchors long, runs long, length double")
+
+
+def spline_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rastrel.kernels import curves, decompose
+
+    return _per_ring(_arrays(spark, sf_dir), lambda p: {"curves": len(found := decompose.spline_loop(p)), "path": curves.path(found)}, "curves long, path string")
+
+
+def corner_fillets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rastrel.kernels import decompose
+
+    def kernel(p: np.ndarray) -> dict:
+        found = [f for k in range(len(p)) if (f := decompose.fillet(p[k - 1], p[k], p[(k + 1) % len(p)]))]
+        return {"fillets": len(found), "radius": round(sum(f["radius"] for f in found), 6)}
+
+    return _per_ring(_arrays(spark, sf_dir), kernel, "fillets long, radius double")
+
+
 def shape_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region shapes of the rasters with their kinds."""
     return pipelines.shapes(_rasters(spark, sf_dir)).select("image_id", "region", "kind", "n_holes", F.round("area", 6).alias("area"))
@@ -133,6 +160,6 @@ def v2_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (small_components, tiny_holes, contour_trace, cleanup_ring, douglas_peucker, schneider_fit, enclosing_circle, circular_arc, shape_descriptors, shape_classes, v1_svg, v2_svg)
+    for f in (small_components, tiny_holes, contour_trace, cleanup_ring, douglas_peucker, schneider_fit, enclosing_circle, circular_arc, shape_descriptors, straight_runs, spline_loop, corner_fillets, shape_classes, v1_svg, v2_svg)
 }
 SQL: dict[str, str] = {}

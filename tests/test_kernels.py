@@ -125,3 +125,44 @@ def test_blurs_and_sizes():
     assert raster.otsu(grey) == 127
     labels, palette = raster.median_cut(np.array([[[0, 0, 0], [250, 0, 0]], [[0, 0, 2], [250, 4, 0]]]), 2)
     assert sorted(map(tuple, palette)) == [(0, 0, 1), (250, 2, 0)] and labels[0, 0] == labels[1, 0] != labels[0, 1]
+
+
+def test_runs_around_a_ring():
+    from rastrel.kernels import decompose
+
+    flags = np.array([1, 1, 0, 1, 0, 0, 1], bool)
+    assert decompose.runs(flags) == [(3, 1), (6, 3)] and decompose.runs(np.ones(4, bool)) == [] == decompose.runs(np.zeros(4, bool))
+
+
+def test_half_ellipse_at_the_bottom():
+    from rastrel.kernels import decompose
+
+    t = np.linspace(0, math.pi, 80)
+    p = np.vstack([np.stack([50 + 40 * np.cos(t), 40 + 20 * np.sin(t)], 1), np.stack([np.linspace(10, 90, 60)[1:-1], np.full(58, 10.0)], 1)])
+    found = decompose.bottom_ellipse(p, band=0.6)
+    assert found and abs(found["rx"] - 40) < 1 and abs(found["ry"] - 20) < 1
+    loop = decompose.loop(p)
+    assert ring.passes_gate(curves.sample(loop), p) and len(loop) < 40
+
+
+def test_fillet_touches_both_edges():
+    from rastrel.kernels import decompose
+
+    f = decompose.fillet(np.array([0.0, 20]), np.array([0.0, 0]), np.array([20.0, 0]))
+    assert f["start"][0] == 0 and f["end"][1] == 0 and abs(f["radius"] - f["trim"]) < 1e-9
+    assert decompose.fillet(np.array([0.0, 0.5]), np.zeros(2), np.array([20.0, 0])) is None
+
+
+def test_ellipse_curves_lie_on_the_ellipse():
+    from rastrel.kernels import decompose
+
+    q = curves.sample(decompose.ellipse_curves(3, 4, 10, 5, 30), 20) - (3, 4)
+    t = math.radians(30)
+    u, v = q[:, 0] * math.cos(t) + q[:, 1] * math.sin(t), q[:, 1] * math.cos(t) - q[:, 0] * math.sin(t)
+    assert np.abs(np.hypot(u / 10, v / 5) - 1).max() < 1e-3
+
+
+def test_settings():
+    from rastrel.config import ClassifyFirst, PrimitiveFirst
+
+    assert ClassifyFirst.from_dict({"threshold": 9, "unknown": 1}).threshold == 9 and PrimitiveFirst().smooth_iterations == 1
