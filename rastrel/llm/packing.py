@@ -26,7 +26,7 @@ TOKENS, END = 2048, 0
 #: Pieces that a task packs: many enough that its last, half-empty bins don't count.
 PIECES_A_TASK = 16_384
 #: Distinct chunks whose ids a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 class Capacity(NamedTuple):

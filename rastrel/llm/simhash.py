@@ -268,7 +268,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows but the smallest."""
     found = near_duplicates(docs, id_col, text_col)
     kept = materialise(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "kept")
-    whole = docs.join(kept, id_col, "left_semi")
+    whole = docs.join(kept.hint("merge"), id_col, "left_semi")  # the same plan at every size
     twice = materialise(docs.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
     if twice.isEmpty():
         return whole
