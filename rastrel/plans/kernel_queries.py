@@ -158,8 +158,12 @@ def v2_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.to_svg(_rasters(spark, sf_dir), primitive_first=True)
 
 
+def color_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.color_svg(raster(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (small_components, tiny_holes, contour_trace, cleanup_ring, douglas_peucker, schneider_fit, enclosing_circle, circular_arc, shape_descriptors, straight_runs, spline_loop, corner_fillets, shape_classes, v1_svg, v2_svg)
+    for f in (small_components, tiny_holes, contour_trace, cleanup_ring, douglas_peucker, schneider_fit, enclosing_circle, circular_arc, shape_descriptors, straight_runs, spline_loop, corner_fillets, shape_classes, v1_svg, v2_svg, color_svg)
 }
 SQL: dict[str, str] = {}

@@ -6,9 +6,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rastrel.functions.scalars import rgb_to_hex
 from rastrel.operators import documents
 from rastrel.operators.pixels import KEY
 
@@ -18,9 +19,9 @@ SHAPE = (
 )
 
 
-def shapes(rasters: DataFrame, primitive_first: bool = False, least_area: int = 32, least_hole: int = 16, key: str = KEY) -> DataFrame:
-    """(key, ordinal, SHAPE) of rasters (key, width, height, data): one byte a cell, set where not zero. Images are independent
-    rows, so nothing is shuffled; an image without shapes gives no row."""
+def shapes(rasters: DataFrame, primitive_first: bool = False, least_area: int = 32, least_hole: int = 16, key: str = KEY, by_value: bool = False) -> DataFrame:
+    """(key, value, ordinal, SHAPE) of rasters (key, width, height, data): one byte a cell, set where not zero; by_value: a mask for
+    each byte but zero. Images are independent rows, so nothing is shuffled; an image without shapes gives no row."""
     from rastrel.kernels import vectorize
 
     kind = rasters.schema[key].dataType.simpleString()
@@ -30,23 +31,27 @@ def shapes(rasters: DataFrame, primitive_first: bool = False, least_area: int =
         for batch in batches:
             rows = []
             for image, w, h, data in zip(*(batch.column(c).to_pylist() for c in (key, "width", "height", "data")), strict=True):
-                mask = np.frombuffer(data or b"", np.uint8)[: (w or 0) * (h or 0)].reshape(h or 0, w or 0) != 0
-                if mask.any():
-                    rows += [{key: image, "ordinal": k} | {n: s.get(n) for n in names} for k, s in enumerate(vectorize.shapes(mask, primitive_first, least_area, least_hole))]
+                cells = np.frombuffer(data or b"", np.uint8)[: (w or 0) * (h or 0)].reshape(h or 0, w or 0)
+                for value in np.unique(cells[cells > 0]) if by_value else [1] if cells.any() else []:
+                    mask = cells == value if by_value else cells > 0
+                    found = vectorize.shapes(mask, primitive_first, least_area, least_hole)
+                    rows += [{key: image, "value": int(value), "ordinal": k} | {n: s.get(n) for n in names} for k, s in enumerate(found)]
             types = {"area": pa.float64(), "n_holes": pa.int32(), "n_segments": pa.int32(), "hole_paths": pa.list_(pa.string()), **{n: pa.float64() for n in ("cx", "cy", "rx", "ry", "angle", "radius")}}
-            fields = [(key, batch.schema.field(key).type), ("ordinal", pa.int32()), *[(n, types.get(n, pa.string())) for n in names]]
+            fields = [(key, batch.schema.field(key).type), ("value", pa.int32()), ("ordinal", pa.int32()), *[(n, types.get(n, pa.string())) for n in names]]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
-    return rasters.select(key, "width", "height", "data").mapInArrow(run, f"`{key}` {kind}, ordinal int, {SHAPE}")
+    return rasters.select(key, "width", "height", "data").mapInArrow(run, f"`{key}` {kind}, value int, ordinal int, {SHAPE}")
 
 
-def markups(found: DataFrame, fill: str = "#000000", key: str = KEY) -> DataFrame:
+def markups(found: DataFrame, fill: str | Column = "#000000", key: str = KEY, z: Column | None = None) -> DataFrame:
     """(key, z, ordinal, markup): a primitive's tag for shapes without holes, else paths; holes are painted over."""
+    fill = fill if isinstance(fill, Column) else F.lit(fill)
+    z = F.lit(0) if z is None else z
     c = {n: F.coalesce(n, F.lit(0.0)) for n in ("cx", "cy", "rx", "ry", "angle", "radius")}
-    path = lambda p, f: F.concat(F.lit('<path d="'), p, F.lit('" fill="'), documents.escape_attribute(F.lit(f)), F.lit('"/>'))
-    tag = F.when(F.col("n_holes") == 0, documents.primitive_markup(F.col("kind"), c, F.lit(fill)))
-    lines = F.concat(F.array(F.coalesce(tag, path(F.col("path"), fill))), F.transform("hole_paths", lambda p: path(p, documents.HOLE_FILL)))
-    return found.select(key, F.lit(0).alias("z"), F.concat_ws("-", F.format_string("%06d", "ordinal"), F.lit("")).alias("o"), F.posexplode(lines).alias("k", "markup")).select(
+    path = lambda p, f: F.concat(F.lit('<path d="'), p, F.lit('" fill="'), documents.escape_attribute(f), F.lit('"/>'))
+    tag = F.when(F.col("n_holes") == 0, documents.primitive_markup(F.col("kind"), c, fill))
+    lines = F.concat(F.array(F.coalesce(tag, path(F.col("path"), fill))), F.transform("hole_paths", lambda p: path(p, F.lit(documents.HOLE_FILL))))
+    return found.select(key, z.alias("z"), F.concat_ws("-", F.format_string("%06d", "ordinal"), F.lit("")).alias("o"), F.posexplode(lines).alias("k", "markup")).select(
         key, "z", F.concat("o", F.format_string("%06d", "k")).alias("ordinal"), "markup")
 
 
@@ -57,6 +62,30 @@ def to_svg(rasters: DataFrame, primitive_first: bool = False, fill: str = "#0000
     return documents.export_svg(markups(found, fill, key), sizes, key, background)
 
 
+def color_svg(pixels: DataFrame, distance: float = 28.0, key: str = KEY, **limits: int) -> DataFrame:
+    """(key, svg) with a layer for each colour but the background, by descending pixel count, near colours merged.
+
+    pixels: (key, x, y, r, g, b) of at most 255 merged colours an image. An image all of whose cells are background
+    gets a document without shapes."""
+    from rastrel.operators import palette
+    from rastrel.operators.pixels import rasters
+
+    colours = palette.palette(pixels, key)
+    cluster = palette.merge_similar(colours, distance, key)
+    joined = colours.join(cluster, [key, "ix"])
+    mean = lambda x: F.bround(F.sum(F.col(x) * F.col("n")).cast("double") / F.sum("n")).cast("int").alias(x)
+    merged = joined.groupBy(key, "cluster").agg(mean("r"), mean("g"), mean("b"), F.sum("n").alias("n")).withColumnRenamed("cluster", "ix")
+    merged = merged.withColumn("hex", rgb_to_hex(F.col("r"), F.col("g"), F.col("b")))
+    named = pixels.join(joined.select(key, "r", "g", "b", F.col("cluster").alias("label")), [key, "r", "g", "b"]).select(key, "x", "y", "label")
+    ground = palette.background(named, key).select(key, "background")
+    layers = palette.layers(merged, ground, key)
+    cells = named.join(ground, key).withColumn("v", F.when(F.col("label").eqNullSafe(F.col("background")), 0).otherwise(F.col("label") + 1))
+    held = rasters(cells, key, "v")
+    found = shapes(held, key=key, by_value=True, **limits).withColumn("ix", F.col("value") - 1).join(layers, [key, "ix"])
+    sizes = held.select(key, "width", "height", F.create_map().cast("map<string,string>").alias("metadata"))
+    return documents.export_svg(markups(found, F.col("hex"), key, F.col("z")), sizes, key)
+
+
 def decode(images: DataFrame, key: str = KEY, threshold: int | None = None, invert: bool = False, blur: float = 0.9, target: int | None = None, bilateral: bool = True) -> DataFrame:
     """(key, width, height, data) masks of rows of Spark's image source (key, image): alpha over white, grey, blur, Otsu.
 
