@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm import packing, quality_model, quality_rules, simhash, substring_dedup
+from rastrel.llm import near_copies, packing, quality_model, quality_rules, substring_dedup
 from rastrel.llm._io import materialise, table
 
 
@@ -25,8 +25,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (0.8 of their 5-word shingles), that of the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", rules), ("quality classifier", classifier), ("near dedup", near_dedup), ("substring dedup", repeats), ("packing", pack)]
 
-#: A trained model and SimHash components are beyond SQL; tests hold the stages against brute force.
+#: A trained model and components of near copies are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
