@@ -93,12 +93,12 @@ def linked(names: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def prints_of(batch: pa.RecordBatch, id_col: str, text_col: str) -> dict:
-    """id, fp (name of the whole text) and buckets of every row."""
-    names, counts, whole = shingles(batch.column(text_col))
+def prints_of(batch: pa.RecordBatch) -> dict:
+    """fp (name of the whole text) and buckets of every row."""
+    names, counts, whole = shingles(batch.column("text"))
     keys = pa.array(buckets(names, counts).view(np.int64).ravel())
     ends = pa.array(np.r_[0, np.cumsum((counts > 0) * BANDS)].astype(np.int32))
-    return {id_col: batch.column(id_col), "fp": pa.array(whole.view(np.int64)), "keys": pa.ListArray.from_arrays(ends, keys)}
+    return {c: batch.column(c) for c in ("__id", "__tag")} | {"fp": pa.array(whole.view(np.int64)), "keys": pa.ListArray.from_arrays(ends, keys)}
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
@@ -135,29 +135,43 @@ def links(found: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("key", "fp", "text").mapInArrow(search, "a long, b long")
 
 
+def _rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs with the id, null or not, and the text of a row of named (__id, __tag, ...), and its columns."""
+    tagged = docs.withColumn("__own", F.xxhash64(text_col))
+    same = tagged[id_col].eqNullSafe(named["__id"]) & (tagged["__own"] == named["__tag"])
+    return tagged.join(named.hint("merge"), same).drop("__own")  # the same plan at every size
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs of each component of near copies, that of the smallest id.
+    """One row of docs of each component of near copies: that of the smallest id, a null id last.
 
-    Near copies share 0.8 or more of their sets of 5-word shingles ; texts without words are copies
-    of each other. Of rows that repeat an id, one with the smallest text stays; a component without any id keeps
-    none of its rows."""
+    Near copies share 0.8 or more of their sets of 5-word shingles; texts without words are copies of each other.
+    Rows are told apart by id and text, so that neither null ids nor unlike texts of one id lose a component."""
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = map_slices(docs.select(id_col, text_col), lambda batch: prints_of(batch, id_col, text_col), f"`{id_col}` {kind}, fp long, keys array<long>", text_col)
-    prints = materialise(prints, "prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("rep"), F.first("keys").alias("keys")), "classes")
+    tagged = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__tag"), F.col(text_col).alias("text"))
+    prints = materialise(map_slices(tagged, prints_of, f"__id {kind}, __tag long, fp long, keys array<long>"), "prints")
+    place = F.struct(F.col("__id").isNull().alias("last"), "__id", "__tag")
+    classes = materialise(prints.groupBy("fp").agg(F.min(place).alias("row"), F.first("keys").alias("keys")), "classes")
     found = shared_buckets(classes)
-    wanted = materialise(classes.select("fp", "rep").join(found.select("fp").distinct().hint("merge"), "fp", "left_semi"), "wanted")
-    named = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "rep")  # the same plan at every size
-    texts = materialise(named.groupBy("fp").agg(F.min("text").alias("text")), "texts")
-    label = materialise(components(materialise(links(found, texts), "links")), "components")
-    of_class = classes.select("fp", "rep").join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
-    kept = materialise(of_class.groupBy("comp").agg(F.min("rep").alias(id_col)).where(F.col(id_col).isNotNull()).select(id_col).distinct(), "kept")
-    whole = docs.join(kept.hint("merge"), id_col, "left_semi")
-    twice = materialise(docs.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
-    if twice.isEmpty():
-        return whole
-    # Only rows that repeat an id are gathered by it.
-    once = whole.join(twice, id_col, "left_anti")
-    rows = whole.join(twice, id_col, "left_semi")
-    first = rows.groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in docs.columns if c not in (id_col, text_col)])).alias("row"))
-    return once.unionByName(first.select(id_col, "row.*").select(docs.columns))
+    wanted = materialise(classes.join(found.select("fp").distinct().hint("merge"), "fp", "left_semi").select("row.__id", "row.__tag", F.col("fp").alias("__fp")), "wanted")
+    texts = _rows(docs, wanted, id_col, text_col).groupBy(F.col("__fp").alias("fp")).agg(F.min(text_col).alias("text"))
+    label = materialise(components(materialise(links(found, materialise(texts, "texts")), "links")), "components")
+    of_class = classes.select("fp", "row").join(label.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = materialise(of_class.groupBy(F.coalesce("comp", "fp").alias("comp")).agg(F.min("row").alias("row")).select("row.__id", "row.__tag"), "kept")
+    same = prints.groupBy("__id", "__tag").agg((F.count("*") > 1).alias("__twice")).where("__twice")
+    twice = materialise(_marked(kept, same), "repeated")
+    whole = _rows(docs, twice, id_col, text_col)
+    once = whole.where("not __twice").select(docs.columns)
+    if twice.where("__twice").isEmpty():
+        return once
+    # Only rows that repeat both id and text are gathered by them.
+    rest = [c for c in docs.columns if c != id_col]
+    first = whole.where("__twice").groupBy("__id", "__tag").agg(F.min(F.struct(*rest)).alias("__row"))
+    return once.unionByName(first.select(F.col("__id").alias(id_col), "__row.*").select(docs.columns))
+
+
+def _marked(kept: DataFrame, same: DataFrame) -> DataFrame:
+    """kept (__id, __tag) with __twice: whether same has the row."""
+    same = same.select(F.col("__id").alias("i"), F.col("__tag").alias("t"), "__twice")
+    both = kept.join(same, kept["__id"].eqNullSafe(same["i"]) & (kept["__tag"] == same["t"]), "left")
+    return both.select("__id", "__tag", F.coalesce("__twice", F.lit(False)).alias("__twice"))

@@ -57,3 +57,15 @@ def test_stage_keeps_one_of_edited_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert kept == set(smallest(texts)) and len(kept) < len(texts)
+
+
+def test_rows_without_id_and_unlike_texts_of_one_id_stay(spark):
+    a, b, c, d = edited(3, 4, 1)
+    rows = [(None, a), (None, a), (None, b), (1, b), (None, None), (7, c), (7, d), (7, d), (8, d), (9, a + " more")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, fp int")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    # Each component keeps its smallest id; that of no id keeps a row as well.
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(9, a + " more"), (1, b), (0, ""), (7, c), (7, d)])
+    assert all(rows[r.fp] == (r.doc_id, r.text) for r in kept)
+    alone = corpus_pipeline.near_dedup(spark, docs.where("doc_id is null"), "").collect()
+    assert sorted((r.doc_id is None, r.text or "") for r in alone) == sorted([(True, a), (True, b), (True, "")])
