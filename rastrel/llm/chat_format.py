@@ -2,8 +2,8 @@
 
 Every assistant turn ends an example: all turns before it are context, its reply alone is trainable.
 A conversation's examples share their prefixes, so each turn is formatted once and an example is
-the segments from 0 to its own; `examples` lays them out in full where a trainer wants that.
-Conversations are streamed in turn order, so none of any length is held in memory.
+the segments from 0 to its own; `examples` lays them out in full, `read_examples` reads them back.
+Conversations are streamed in turn order; one example and the turns after it are held at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rastrel.llm._io import SLICE_BYTES
+
 #: The template's control strings. A turn is OPEN, role, ": ", text, CLOSE.
 OPEN, CLOSE = "### ", " </turn>\n"
 ASSISTANT = "assistant"
@@ -82,15 +84,80 @@ def segments(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     return rows.mapInArrow(run, f"conv {kind}, ix long, segment string, context_chars long, loss_start long, loss_end long, example long").withColumnRenamed("conv", conv_col)
 
 
-def examples(found: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+def examples(found: DataFrame, conv_col: str = "conv_id", tails: bool = False) -> DataFrame:
     """(conv, example, text, loss_start, loss_end): each example in full, from segments().
 
-    The length of the result grows with the square of a conversation's turns, as the method's examples do."""
-    ends = found.where("example is not null").select(conv_col, "example", F.col("ix").alias("end_ix"), "context_chars", "loss_start", "loss_end")
-    pairs = found.select(conv_col, "ix", "segment").join(ends, conv_col).where("ix <= end_ix")
-    whole = pairs.groupBy(conv_col, "example", "context_chars", "loss_start", "loss_end").agg(F.array_sort(F.collect_list(F.struct("ix", "segment"))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["segment"]), "")
-    return whole.select(conv_col, "example", text.alias("text"), (F.col("context_chars") + F.col("loss_start")).alias("loss_start"), (F.col("context_chars") + F.col("loss_end")).alias("loss_end"))
+    Takes segments() as it comes, a conversation at a time, so a null conversation has its examples as any other.
+    With tails, each conversation ends with a row of no example, whose text is the turns after its last reply.
+    The characters of the result grow with the square of a conversation's turns, as the method's examples do."""
+    kind = found.schema[conv_col].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = (conv_col, "example", "text", "loss_start", "loss_end")
+        now, prefix, after, started = None, "", [], False
+        for batch in batches:
+            types = (batch.schema.field(conv_col).type, pa.int64(), pa.string(), pa.int64(), pa.int64())
+            out, size = [], 0
+
+            def flush(rows: list[tuple], types: tuple = types) -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})
+
+            for conv, ix, segment, example, chars, a, b in zip(*(batch.column(c).to_pylist() for c in (conv_col, "ix", "segment", "example", "context_chars", "loss_start", "loss_end")), strict=True):
+                if not ix:
+                    if started and tails:
+                        out.append((now, None, "".join(after), 0, 0))
+                    now, prefix, after, started = conv, "", [], True
+                after.append(segment)
+                if example is not None:
+                    prefix, after = prefix + "".join(after), []
+                    out.append((conv, example, prefix, chars + a, chars + b))
+                    size += len(prefix)
+                    if size > SLICE_BYTES:
+                        yield flush(out)
+                        out, size = [], 0
+            yield flush(out)
+        if started and tails:
+            yield flush([(now, None, "".join(after), 0, 0)])
+
+    return found.select(conv_col, "ix", "segment", "example", "context_chars", "loss_start", "loss_end").mapInArrow(run, f"`{conv_col}` {kind}, example long, text string, loss_start long, loss_end long")
+
+
+def read_examples(found: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """What the examples of each conversation hold, the columns of read_back(): from examples() with tails, as it comes.
+
+    Each reply is read at its example's own loss span. An example must repeat its predecessor, as it is compared,
+    and its further turns are parsed; formatted_chars is the length of the last example and of the tail."""
+    kind = found.schema[conv_col].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = (conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+        n, said, chars, loss, last = 0, hashlib.sha256(), 0, hashlib.sha256(), ""
+        for batch in batches:
+            types = (batch.schema.field(conv_col).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            done: list[tuple] = []
+            for conv, example, text, a, b in zip(*(batch.column(c).to_pylist() for c in (conv_col, "example", "text", "loss_start", "loss_end")), strict=True):
+                if example is None:
+                    new = text
+                elif text.startswith(last):
+                    new = text[len(last) :]
+                    trained = unescape(text[a:b])
+                    chars += len(trained)
+                    loss.update(trained.encode())
+                else:
+                    raise ValueError("an example does not repeat the one before it")
+                # Only a turn's end holds CLOSE unescaped.
+                for part in new.split(CLOSE)[:-1]:
+                    role, body = parse_turn(part + CLOSE)
+                    n += 1
+                    said.update(f"{role}\n{body}\n".encode())
+                if example is not None:
+                    last = text
+                    continue
+                done.append((conv, n, said.hexdigest(), chars, loss.hexdigest(), len(last) + len(text)))
+                n, said, chars, loss, last = 0, hashlib.sha256(), 0, hashlib.sha256(), ""
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in done], t) for k, (c, t) in enumerate(zip(names, types, strict=True))})
+
+    return found.mapInArrow(run, f"`{conv_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def read_back(found: DataFrame, conv_col: str = "conv_id") -> DataFrame:

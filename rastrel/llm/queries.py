@@ -32,7 +32,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat_format.read_back(chat_format.segments(turns.unionByName(more)))
+    laid = chat_format.examples(chat_format.segments(turns.unionByName(more)), tails=True)
+    return chat_format.read_examples(laid)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
