@@ -4,8 +4,9 @@ A text's bytes are the symbols of level 0. On each level, runs of one symbol bec
 coin tossing against the symbol before (the lowest bit that differs, and its value) is repeated until
 few labels are left, and a phrase opens at every local maximum. A phrase's name is a hash of its
 symbols; names are the symbols of the next level. A cut depends on a few symbols around it alone, so equal
-substrings have equal phrases inside, at whatever offset. The fingerprint keeps the least names of
-the signature levels, and two fingerprints' likeness estimates the Jaccard index of their phrases.
+substrings have equal phrases inside, at whatever offset. The fingerprint holds all names of
+the signature levels, for texts of few phrases those of the lower levels too, and two fingerprints' likeness is the
+Jaccard index of their phrases.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from rastrel.llm._io import SLICE_BYTES
 from rastrel.llm._words import _BYTE, U64, flat, mix, powers
 
-#: Levels whose phrases make up a fingerprint (of about 27 and 81 bytes), and how many of their names it keeps.
-LEVELS, KEPT = (3, 4), 64
+#: Levels whose phrases make up a fingerprint (of about 27 and 81 bytes).
+LEVELS = (3, 4)
+#: Phrases of LEVELS below which the levels before join them (of about 3 and 9 bytes).
+FEW = 16
 _ROUNDS = 4
 _LOW = np.array([0, *(((k & -k).bit_length() - 1) for k in range(1, 256))], np.uint8)
 
@@ -76,22 +79,32 @@ def next_level(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(value + sizes.astype(U64) * U64(0x165667B19E3779F9)), np.r_[0, np.cumsum(counts)]
 
 
-def sketches(texts: pa.Array, levels: tuple[int, ...] = LEVELS, kept: int = KEPT) -> list[np.ndarray]:
-    """For each whole text the least 32-bit names of its signature phrases, ascending; an empty text has none."""
+def sketches(texts: pa.Array, levels: tuple[int, ...] = LEVELS, kept: int | None = None) -> list[np.ndarray]:
+    """For each whole text the 32-bit names of its signature phrases, ascending, or the `kept` least; an empty text has none.
+
+    The lowest bit is set in names of levels before the signature's, which only texts of under FEW phrases have."""
     raw, bounds = flat(texts)
     names = _BYTE[raw]
-    found = []
+    found, lower = [], []
     for level in range(1, max(levels) + 1):
         names, bounds = next_level(names, bounds)
+        short = (names >> U64(32)).astype(np.uint32) & ~np.uint32(1)
         if level in levels:
-            found.append(((names >> U64(32)).astype(np.uint32), bounds))
-    return [np.unique(np.concatenate([n[b[k] : b[k + 1]] for n, b in found]))[:kept] for k in range(len(texts))]
+            found.append((short, bounds))
+        elif level < min(levels):
+            lower.append((short | np.uint32(1), bounds))
+    few = sum(np.diff(b) for _, b in found) < FEW
+    return [np.unique(np.concatenate([n[b[k] : b[k + 1]] for n, b in (found + lower if few[k] else found)]))[:kept] for k in range(len(texts))]
+
 
+def likeness(a: np.ndarray, b: np.ndarray, kept: int | None = None) -> float:
+    """Jaccard index of two sketches (an estimate with `kept`); 1 for equal ones, two empty ones too.
 
-def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """Jaccard estimate of two sketches; 1 for equal ones, two empty ones too."""
+    If only one has lower levels, they are left out."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    if (a & 1).any() != (b & 1).any():
+        a, b = a[a & 1 == 0], b[b & 1 == 0]
     least = np.union1d(a, b)[:kept]
     return float(np.intersect1d(np.intersect1d(a, b, True), least, True).size / len(least))
 
