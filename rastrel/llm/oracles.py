@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rastrel.llm.license_scan import BLOCK, CONTAINMENT, PHRASES, STEP, TEMPLATES, words_of
+from math import ceil
+
+from rastrel.llm.license_scan import CONTAINMENT, PHRASES, TEMPLATES, block_span, words_of
 from rastrel.llm.quality_rules import STOP_WORDS
 
 _WORDS = r"""w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0d]+'), lambda x: x <> '') AS ws FROM documents)"""
@@ -35,19 +37,31 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 
 
 def _license() -> str:
-    wanted = [(k, label, w.decode()) for k, (label, text) in enumerate(TEMPLATES) for w in sorted(set(words_of(text)))]
-    templates = ", ".join(f"({k}, '{label}', '{w}')" for k, label, w in wanted)
+    wanted, sizes, wider = [], [], []
+    split = [(label, words_of(text), {w.decode() for w in words_of(names)}) for label, text, names in TEMPLATES]
+    sets = [{w.decode() for w in words} for _, words, _ in split]
+    for k, (label, words, names) in enumerate(split):
+        wanted += [f"({k}, '{w}', {w in names})" for w in sorted(sets[k])]
+        sizes.append(f"({k}, '{label}', {len(sets[k])}, {ceil(CONTAINMENT * len(sets[k]) - 1e-9)}, {block_span(len(words))}, {len(names)})")
+        wider += [f"({k}, {o})" for o in range(len(sets)) if sets[k] < sets[o]]
     places = " UNION ALL ".join(
         f"SELECT doc_id, unnest(list_filter(range(len(ws)), lambda p: ws[p + 1:p + {len(phrase.split())}] = {phrase.split()})) AS p, '{label}' AS label FROM w" for phrase, label in PHRASES
     )
     return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS ws FROM documents),
 pl AS ({places}),
 ba AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word FROM pl GROUP BY 1),
-tp AS (SELECT * FROM (VALUES {templates}) v(t, label, word)),
-tn AS (SELECT t, count(*) AS n FROM tp GROUP BY 1),
-bl AS (SELECT doc_id, a, list_distinct(ws[a + 1:a + {BLOCK}]) AS b FROM (SELECT doc_id, ws, unnest(range(0, greatest(1, len(ws) - {BLOCK} + {STEP}), {STEP})) AS a FROM w)),
-hi AS (SELECT doc_id, a, t, any_value(label) AS label, count(*) AS c FROM (SELECT doc_id, a, unnest(b) AS word FROM bl) JOIN tp USING (word) GROUP BY ALL),
-ma AS (SELECT doc_id, label, max(c / n) AS share FROM hi JOIN tn USING (t) WHERE c >= ceil({CONTAINMENT} * n - 1e-9) GROUP BY ALL),
+tp AS (SELECT * FROM (VALUES {", ".join(wanted)}) v(t, word, named)),
+tn AS (SELECT * FROM (VALUES {", ".join(sizes)}) v(t, label, n, need, span, n_named)),
+wi AS (SELECT * FROM (VALUES {", ".join(wider)}) v(t, o)),
+po AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM w),
+hi AS (SELECT doc_id, t, word, named, p FROM po JOIN tp USING (word)),
+ca AS (SELECT doc_id, t FROM hi JOIN tn USING (t) GROUP BY doc_id, t, need, n_named HAVING count(DISTINCT word) >= need AND count(DISTINCT word) FILTER (named) = n_named),
+ch AS (SELECT hi.* FROM hi JOIN ca USING (doc_id, t)),
+bl AS (SELECT a.doc_id, a.t, a.p AS first, max(b.p) AS last, count(DISTINCT b.word) AS c, count(DISTINCT b.word) FILTER (b.named) AS cn
+  FROM ch a JOIN tn USING (t) JOIN ch b ON b.doc_id = a.doc_id AND b.t = a.t AND b.p BETWEEN a.p AND a.p + span - 1 GROUP BY ALL),
+mb AS (SELECT doc_id, t, label, first, last, c / n AS share FROM bl JOIN tn USING (t) WHERE c >= need AND cn = n_named),
+ma AS (SELECT doc_id, label, max(share) AS share FROM mb WHERE NOT EXISTS (SELECT 1 FROM wi JOIN mb x ON x.t = wi.o
+  WHERE wi.t = mb.t AND x.doc_id = mb.doc_id AND x.first <= mb.last AND mb.first <= x.last) GROUP BY ALL),
 la AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM pl UNION ALL SELECT doc_id, label FROM ma) GROUP BY 1),
 lb AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY 1),
 sc AS (SELECT doc_id, max(share) AS share FROM ma GROUP BY 1)

@@ -92,41 +92,62 @@ def test_chat_digests_and_examples(spark):
     assert chat_format.read_back(chat_format.segments(turns.limit(0))).collect() == []
 
 
-def brute_scan(text):
+def brute_scan(text, templates=license_scan.TEMPLATES):
+    """Every block of every template, by sets."""
     words = license_scan.words_of(text)
     places = [(k, label) for phrase, label in license_scan.PHRASES for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.encode().split()]
-    labels = {label for _, label in places}
-    score = 1.0 if places else 0.0
-    for a in range(0, max(1, len(words)), license_scan.STEP):
-        block = set(words[a : a + license_scan.BLOCK])
-        for label, template in license_scan.TEMPLATES:
-            want = set(license_scan.words_of(template))
-            share = len(block & want) / len(want)
-            if share >= license_scan.CONTAINMENT - 1e-9:
-                labels.add(label)
-                score = max(score, share)
-        if a + license_scan.BLOCK >= len(words):
-            break
+    wants = [(label, set(license_scan.words_of(t)), set(license_scan.words_of(names)), license_scan.block_span(len(license_scan.words_of(t)))) for label, t, names in templates]
+    found = []
+    for t, (label, want, names, span) in enumerate(wants):
+        for a in range(len(words)):
+            block = words[a : a + span]
+            if want and words[a] in want and names <= set(block) and len(want & set(block)) / len(want) >= license_scan.CONTAINMENT - 1e-9:
+                found.append((t, a, max(k for k, w in enumerate(block, a) if w in want), len(want & set(block)) / len(want)))
+    kept = [m for m in found if not any(wants[m[0]][1] < wants[o[0]][1] and o[1] <= m[2] and m[1] <= o[2] for o in found)]
+    labels = {label for _, label in places} | {wants[m[0]][0] for m in kept}
+    score = 1.0 if places else max((m[3] for m in kept), default=0.0)
     at = [k for k, _ in places]
     return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), score
 
 
 def test_license_scan(spark):
     rng = random.Random(4)
-    vocabulary = sorted({w.decode() for _, t in license_scan.TEMPLATES for w in license_scan.words_of(t)}) + ["mit", "license", "x", "é"] * 9
-    texts = [None, "", "MIT-License mit license", "cc by cc by", "éapache license", "Apache\nLicense", "gnu general public license " * 3]
-    for _, template in license_scan.TEMPLATES:
+    vocabulary = sorted({w.decode() for _, t, _ in license_scan.TEMPLATES[:12] for w in license_scan.words_of(t)})[::3] + ["mit", "license", "x", "é"] * 9
+    names = "cc by nc sa nd 4 0 licensed under attribution noncommercial creative commons international work this is a license".split()
+    texts = [None, "", "MIT-License mit license", "cc by cc by", "éapache license", "Apache\nLicense", "gnu general public license " * 3, "pad " * 30_000 + "Licensed under CC BY 4.0"]
+    for _, template, _ in license_scan.TEMPLATES:
         words = template.split()
-        texts += [template.upper(), " ".join(words[1:]), "pad " * 40 + template, "pad " * 130 + "\n".join(words), " ".join(w for k, w in enumerate(words) if k % 6)]
-    texts += [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 300))) for _ in range(80)]
-    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)] + [(2, texts[2], 0), (None, "x", 0)], "doc_id long, text string, score int")
+        texts += [template.upper(), " ".join(words[1:]), "pad " * 40 + template, "pad " * 130 + "\n".join(words), " ".join(w for k, w in enumerate(words) if k % 6), template[: len(template) // 2] + " pad" * 9 + template[len(template) // 2 :]]
+    texts += [" ".join(rng.choice(v) for _ in range(rng.randint(1, 150))) for _ in range(30) for v in (vocabulary, names)]
+    docs = spark.createDataFrame([(k, t, 0, "x") for k, t in enumerate(texts)] + [(2, texts[2], 0, "x"), (None, "x", 0, "x")], "doc_id long, text string, score int, labels string")
     got = license_scan.scan(docs).collect()
     assert len(got) == len(texts) + 2
     for r in got:
-        assert tuple(r)[1:] == brute_scan("x" if r.doc_id is None else texts[r.doc_id]), r
+        assert tuple(r)[1:-1] == brute_scan("x" if r.doc_id is None else texts[r.doc_id]), r
+        text = license_scan.words_of("x" if r.doc_id is None else texts[r.doc_id])
+        assert {s.label for s in r.spans} == set(filter(None, r.labels.split(","))) - set(r.base_labels.split(",")) or r.n_base
+        assert all(0 <= s.first_word <= s.last_word < len(text) and s.share >= 0.8 for s in r.spans)
     assert license_scan.scan(docs.limit(0)).collect() == []
 
 
+def test_license_labels():
+    """Notices of one license don't get another's label, and a template of any length is found."""
+    index = license_scan.Index(license_scan.TEMPLATES, {}, license_scan.CONTAINMENT)
+    labels = lambda text, own=index: sorted({own.templates[m.template].label for m in own.matches(license_scan.words_of(text))})
+    assert labels("Released under the Apache License") == []
+    assert labels("released under the BSD license") == ["bsd"]
+    assert labels("Licensed under CC BY 4.0") == ["cc-by-4.0"]
+    assert labels("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License") == ["cc-by-nc-4.0"]
+    assert labels("Licensed under CC BY-NC-SA 4.0") == ["cc-by-nc-sa-4.0"]
+    assert labels("The minister released a report under which the driver's license fee rises") == []
+    assert labels("This work is licensed under the GNU Lesser General Public License, version 3") == ["lgpl-3.0"]
+    for label, text, _ in license_scan.TEMPLATES:
+        assert label in labels("some words before " + text + " and after"), text
+    words = [f"w{k}" for k in range(150)]
+    long = license_scan.Index((("own", " ".join(words), ""),), {}, 0.8)
+    assert labels("x " * 77 + " ".join(words), long) == ["own"] and labels(" ".join(words[:119]), long) == [] and labels(" ".join(words[30:]), long) == ["own"]
+
+
 def test_each_query_covers_its_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op7_token_counts", "op10_license_scan", "op3_quality_model"):
