@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,14 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, a temporary one in local mode; on a
+    cluster, whose executors would each write to a disk of their own, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master or 'the cluster'} shares")
         found = "file://" + tempfile.mkdtemp(prefix="rastrel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete all scratch tables of this and earlier jobs; results that still read them fail from then on."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rastrel")
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def own_name(wanted: str, taken: list[str]) -> str:
+    """wanted, with as many underscores before it as keep it from the names in use."""
+    used = {t.lower() for t in taken}
+    while wanted.lower() in used:
+        wanted = "_" + wanted
+    return wanted
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, and a lost
     executor loses nothing of it."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm._io import map_slices, materialise
+from rastrel.llm._io import map_slices, materialise, own_name
 
 #: Tokens of a sequence, and the id that ends a document.
 TOKENS, END = 2048, 0
@@ -187,8 +187,10 @@ def pack(found: DataFrame, id_col: str = "doc_id", capacity: Capacity = Capacity
             whole = whole.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
             yield from whole.to_batches()
 
-    dealt = found.withColumn("__task", F.pmod(F.xxhash64(id_col, "piece"), F.lit(tasks)).cast("int"))
-    dealt = dealt.repartitionById(tasks, F.col("__task")).drop("__task").sortWithinPartitions(F.desc("length"), id_col, "piece")
+    task = own_name("_task", columns)
+    # A row's number is the same in every run of a task, as files are dealt to tasks by their names and sizes.
+    dealt = found.withColumn(task, F.pmod(F.xxhash64(id_col, "piece", F.monotonically_increasing_id()), F.lit(tasks)).cast("int"))
+    dealt = dealt.repartitionById(tasks, F.col(task)).drop(task).sortWithinPartitions(F.desc("length"), id_col, "piece")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     return dealt.select(columns).mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
@@ -196,7 +198,7 @@ def pack(found: DataFrame, id_col: str = "doc_id", capacity: Capacity = Capacity
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: Capacity = Capacity(), rule: str = "norm", with_ids: bool = False) -> DataFrame:
     """Every whole text of docs, tokenized, cut and packed: the columns of pieces() with sequence_id and offset.
 
-    Null texts are empty and take one token, the end id. Rows that repeat are packed as often as they occur; ids,
+    Null texts are empty and take one token, the end id; very long ones are cut into as many pieces as they need. Rows that repeat are packed as often as they occur; ids,
     null ones too, are only carried along. Further columns are ignored. An empty table gives an empty result."""
     found = materialise(pieces(docs, path, id_col, text_col, capacity.tokens, with_ids=with_ids), "pieces")
     return pack(found, id_col, capacity, rule)

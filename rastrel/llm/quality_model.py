@@ -202,9 +202,11 @@ def held_out(id_col: str) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from labelled rows that aren't held out, `sample` at most.
+    """A model from labelled rows that aren't held out, of `sample` ids and as many rows at most.
 
-    Of an id with several labels the mean decides, from 0.5 up for 1; null ids and labels don't count."""
+    Both bounds choose by a hash, of ids and of ids with texts, so that neither favours any texts. Of an id with several
+    labels the mean decides, from 0.5 up for 1; null ids and labels don't count, null texts count as empty ones. Columns
+    of docs other than id_col and text_col are ignored."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
     known = known.groupBy(id_col).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
     # The least hashes over the whole table. Rows far beyond the bound go before the sort, so that no more
@@ -212,36 +214,41 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     place = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
     bound = int(min(1.0, (1.2 * sample + 200) / max(1, known.count())) * (1 << 40))
     chosen = known.where(place <= bound).orderBy(place, id_col).limit(sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # `sample` ids at most
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)  # `sample` ids at most
+    rows = rows.select("text", "y", F.xxhash64(id_col, "text").alias("place"))
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        x = features(batch.column(text_col))
-        return {"y": batch.column("y"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))}
+        x = features(batch.column("text"))
+        return {"y": batch.column("y"), "place": batch.column("place"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))}
 
-    got = map_slices(rows, kernel, "y double, x array<double>", text_col).orderBy("x", "y").limit(2 * sample).toArrow()
+    # Ids that repeat may have more rows than the sample has ids.
+    got = map_slices(rows, kernel, "y double, place long, x array<double>").orderBy("place", "x").limit(sample).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, got.column("y").to_numpy())
 
 
-def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """docs with score double and predicted int. Every row is scored by its whole text alone; a null text counts as
-    an empty one, and further columns are carried along."""
-    columns = docs.columns
+def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, named: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with two columns named by `named`: score double and predicted int (score >= cut).
+
+    Every row is scored by its whole text alone, however long; a null text counts as an empty one. Ties and repeated rows
+    score alike, ids don't matter, and further columns are carried along; those of docs that are named as in `named` are
+    replaced. An empty table gives an empty result."""
+    columns = [c for c in docs.columns if c not in named]
 
     def kernel(batch: pa.RecordBatch) -> dict:
         score = model.score(features(batch.column(text_col)))
-        return {c: batch.column(c) for c in columns} | {"score": pa.array(score), "predicted": pa.array((score >= cut).astype(np.int32))}
+        return {c: batch.column(c) for c in columns} | {named[0]: pa.array(score), named[1]: pa.array((score >= cut).astype(np.int32))}
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_slices(docs, kernel, f"{fields}, score double, predicted int", text_col)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in columns)
+    return map_slices(docs.select(columns), kernel, f"{fields}`{named[0]}` double, `{named[1]}` int", text_col)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """(id, score, predicted) as classify(), without the text on the way back."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        score = model.score(features(batch.column(text_col)))
+        score = model.score(features(batch.column("text")))
         return {id_col: batch.column(id_col), "score": pa.array(score), "predicted": pa.array((score >= cut).astype(np.int32))}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_slices(docs.select(id_col, text_col), kernel, f"`{id_col}` {kind}, score double, predicted int", text_col)
+    return map_slices(docs.select(id_col, F.col(text_col).alias("text")), kernel, f"`{id_col}` {kind}, score double, predicted int")

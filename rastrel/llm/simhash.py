@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null id keep
     their own row but never name a component that has another id. Repeated rows come out as often
-    as they come in. Further columns are ignored. An empty table gives an empty result."""
+    as they come in, and texts count whole, however long. Further columns are ignored, whatever they
+    are named. An empty table gives an empty result."""
     prints = materialise(simhash(docs, id_col, text_col), "fingerprints")
     classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
     label = materialise(components(links(classes, hot)), "components")
@@ -259,21 +260,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = named.join(least, "comp").select(F.col("node").alias("fp"), "least")
     of_class = materialise(classes.join(found, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "of-class")
     return prints.join(of_class, "fp").select(id_col, "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that name their near-duplicate component, one row of each.
-
-    Of rows that repeat an id, one with the smallest text stays; a component without any id keeps none of its
-    rows but the smallest."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = materialise(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "kept")
-    whole = docs.join(kept.hint("merge"), id_col, "left_semi")  # the same plan at every size
-    twice = materialise(docs.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
-    if twice.isEmpty():
-        return whole
-    # Only rows that repeat an id are gathered by it.
-    once = whole.join(twice, id_col, "left_anti")
-    rows = whole.join(twice, id_col, "left_semi")
-    first = rows.groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in docs.columns if c not in (id_col, text_col)])).alias("row"))
-    return once.unionByName(first.select(id_col, "row.*").select(docs.columns))

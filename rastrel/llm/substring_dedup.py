@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm._io import map_slices, materialise
+from rastrel.llm._io import map_slices, materialise, own_name
 from rastrel.llm._words import U64, flat, mix, run_hashes, spans, word_hashes
 
 #: Words of a repeat, and of an anchor.
@@ -76,9 +76,10 @@ def _marks(spans_of: pa.Array, bounds: np.ndarray, length: int, n_words: int) ->
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(id, tag, start, n): windows [start, start + n) of a row whose words also start in a row of smaller id.
 
-    tag is the text's CRC-32 and tells rows apart that repeat an id."""
+    tag is a 64-bit hash of the text and tells rows apart that repeat an id. Rows that are equal in both have the same
+    windows, which are listed once for each of them and never for pairs of them."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.crc32(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
 
     def seeds(batch: pa.RecordBatch) -> dict:
         got = anchor_runs(batch.column("text"), length, anchor)
@@ -92,7 +93,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     holders = materialise(hits.where("open").groupBy("anchor", "ctx").agg(F.min("id").alias("holder")), "holders")
     held = materialise(hits.where("open").join(holders, ["anchor", "ctx"]).select("id", "tag", "start", "n", "anchor", (F.col("id") > F.col("holder")).alias("whole")), "held")
 
-    todo = held.where("not whole").groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("runs"))
+    # Sets, not lists: n equal rows list a run n times.
+    todo = held.where("not whole").groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("runs"))
     texts = rows.join(todo, ["id", "tag"])
 
     def windows(batch: pa.RecordBatch) -> dict:
@@ -117,27 +119,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     return sure.unionByName(single).withColumnsRenamed({"id": id_col})
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """docs with the repeats cut out of text_col, and n_words and n_removed long.
+def dedup_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, counts: tuple[str, str] = ("n_words", "n_removed")
+) -> DataFrame:
+    """docs with the repeats cut out of text_col, and two columns named by counts: words and removed words, long.
 
     A word is a run of non-space characters (ASCII spaces). It goes if a window of `length` words that covers
     it also starts in a row with a smaller id; windows are those of the input. A cut goes from the first word
     of a repeat to the next kept word, so all else of a text stays as it is.
 
-    Null texts stay null with no words; texts shorter than a window stay whole. Rows that repeat an id
-    are one document's versions: none removes words of another. A row with a null id neither loses words
-    nor removes any. Further columns are carried along."""
+    Null texts stay null with no words; texts shorter than a window stay whole, and very long ones are cut as any
+    other. Rows that repeat an id are one document's versions: none removes words of another, and n equal rows cost n
+    times one. A row with a null id neither loses words nor removes any. Further columns are carried along, but columns
+    of docs that are named as in counts are replaced. An empty table gives an empty result."""
     found = repeats(docs, id_col, text_col, length, anchor)
-    per = found.groupBy(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
-    tagged = docs.withColumn("__crc", F.crc32(F.col(text_col)))
-    joined = tagged.join(per, (F.col(id_col) == F.col("__id")) & (F.col("__crc") == F.col("__tag")), "left").drop("__id", "__tag", "__crc")
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in counts]
+    of, tag, spans_col, own = (own_name(n, [*docs.columns, *counts]) for n in ("_id", "_tag", "_spans", "_own"))
+    per = found.groupBy(F.col(id_col).alias(of), F.col("tag").alias(tag)).agg(F.collect_set(F.struct("start", "n")).alias(spans_col))
+    tagged = docs.select(*columns, F.xxhash64(F.col(text_col)).alias(own))
+    joined = tagged.join(per, (F.col(id_col) == F.col(of)) & (F.col(own) == F.col(tag)), "left").drop(of, tag, own)
 
     def cut(batch: pa.RecordBatch) -> dict:
         texts = batch.column(text_col)
         raw, offs = flat(texts)
         starts, ends, bounds = spans(raw, offs)
-        gone = _marks(batch.column("__spans"), bounds, length, len(starts))
+        gone = _marks(batch.column(spans_col), bounds, length, len(starts))
         n_words = np.diff(bounds)
         total = np.r_[0, np.cumsum(gone)]
         removed = total[bounds[1:]] - total[bounds[:-1]]
@@ -153,7 +159,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 parts = [raw[(head if j == 0 and head is not None else o) : f].tobytes() for j, (o, f) in enumerate(zip(opens, follow, strict=True))]
                 out[k] = b"".join(parts).decode() if len(ends_) else ""
             texts = pa.array(out, texts.type)
-        return {c: texts if c == text_col else batch.column(c) for c in columns} | {"n_words": pa.array(n_words), "n_removed": pa.array(removed)}
+        return {c: texts if c == text_col else batch.column(c) for c in columns} | {counts[0]: pa.array(n_words), counts[1]: pa.array(removed)}
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_slices(joined, cut, f"{fields}, n_words long, n_removed long", text_col)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in columns)
+    return map_slices(joined, cut, f"{fields}`{counts[0]}` long, `{counts[1]}` long", text_col)

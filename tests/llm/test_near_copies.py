@@ -69,3 +69,20 @@ def test_rows_without_id_and_unlike_texts_of_one_id_stay(spark):
     assert all(rows[r.fp] == (r.doc_id, r.text) for r in kept)
     alone = corpus_pipeline.near_dedup(spark, docs.where("doc_id is null"), "").collect()
     assert sorted((r.doc_id is None, r.text or "") for r in alone) == sorted([(True, a), (True, b), (True, "")])
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Groups of near copies beyond a task's bound are settled by pivots and chunks; the result doesn't change."""
+    texts = [*edited(5, 3, 40), *edited(6, 10, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(smallest(texts))
+    for hot in (near_copies.HOT, 2_000, 300):
+        assert {r.doc_id for r in near_copies.keep_one(docs, hot=hot).collect()} == want
+    assert 10 < len(want) < len(texts)
+
+
+def test_clashing_columns_and_empty_table(spark):
+    rows = [(1, "a b c", "p", 4), (2, "A b  c", "q", 5), (3, "x", "r", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, fp int")
+    assert sorted(map(tuple, near_copies.keep_one(docs).collect())) == [rows[0], rows[2]]
+    assert near_copies.keep_one(docs.limit(0)).collect() == []

@@ -79,11 +79,4 @@ def test_documents(spark):
     # A row without an id takes part by its text, and never names a component.
     want = dict(brute_components([(10**6 if i is None else i, brute_print(t)) for i, t in rows]))
     assert sorted((r.doc_id or 10**6, r.component_id) for r in got) == sorted((i or 10**6, want[i or 10**6]) for i, t in rows)
-    kept = simhash.keep_one(docs).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(want.values())) and kept[0].fp == "x"
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
-
-
-def test_repeated_ids_keep_one_row(spark):
-    docs = spark.createDataFrame([(1, "b b b b"), (1, "a a a a a"), (1, None)], "doc_id long, text string")
-    assert len(simhash.keep_one(docs).collect()) == 1
