@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastrel.llm import near_copies, packing, quality_model, quality_rules, substring_dedup
-from rastrel.llm._io import materialise, table
+from rastrel.llm._io import materialise, own_name, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as good; the model learns from the labelled rows of the whole input table."""
     model = quality_model.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_model.classify(docs, model).where("predicted = 1").select(docs.columns)
+    named = (own_name("score", docs.columns), own_name("predicted", docs.columns))
+    return quality_model.classify(docs, model, named=named).where(f"`{named[1]}` = 1").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document of smaller id has; n_chars follows the text.
 
     A document of which nothing is left goes, as it was nothing but repeats."""
-    cut = substring_dedup.dedup_substrings(docs)
-    kept = cut.where("n_removed = 0 or n_removed < n_words")
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    words, gone = own_name("n_words", docs.columns), own_name("n_removed", docs.columns)
+    kept = substring_dedup.dedup_substrings(docs, counts=(words, gone)).where(f"`{gone}` = 0 or `{gone}` < `{words}`")
+    return kept.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
