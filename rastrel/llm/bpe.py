@@ -27,6 +27,7 @@ class Vocabulary:
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
+        self.longest = max(map(len, tokens), default=0)
         self.ids = {t: i for i, t in enumerate(tokens)}
         #: By token: its two halves, or itself twice where it is not a merge.
         self.halves: list[tuple[int, int]] = []
@@ -121,33 +122,47 @@ class PrefixEncoder:
         self.vocabulary, self.text, self.last = vocabulary, b"", []
         self.append(text)
 
+    def _entry(self, text: bytes, end: int) -> int:
+        """The last token of text[:end], from the entries of shorter prefixes: O(1) of them for each byte."""
+        node, last, joined = self.vocabulary.endings, self.last, self.vocabulary.joined
+        start, found = end, []
+        while start:
+            node = node.get(text[start - 1])
+            if node is None:
+                break
+            start -= 1
+            if END in node:
+                found.append((start, node[END]))
+        for start, token in reversed(found):
+            if not start or joined(last[start - 1], token):
+                return token
+        raise ValueError(f"no token ends at byte {end}")
+
     def append(self, more: bytes) -> None:
-        """Extend the text: O(1) table entries for each new byte."""
-        text, last = self.text + more, self.last
-        root, joined = self.vocabulary.endings, self.vocabulary.joined
+        """Extend the text: one entry for each new byte."""
+        text = self.text + more
         for end in range(len(self.text) + 1, len(text) + 1):
-            node, start, found = root, end, []
-            while start:
-                node = node.get(text[start - 1])
-                if node is None:
-                    break
-                start -= 1
-                if END in node:
-                    found.append((start, node[END]))
-            for start, token in reversed(found):
-                if not start or joined(last[start - 1], token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {end}")
+            self.last.append(self._entry(text, end))
         self.text = text
 
-    def edit(self, at: int, removed: int, added: bytes) -> None:
-        """Replace `removed` bytes at `at`: entries of the bytes before stay, only later ones are made anew."""
-        rest = added + self.text[at + removed :]
-        self.text = self.text[:at]
+    def edit(self, at: int, removed: int, added: bytes) -> int:
+        """Replace `removed` bytes at `at`; how many entries were made anew.
+
+        Entries of the bytes before stay. Behind the edit, entries depend on those of at most the longest token's bytes
+        before, so as soon as that many in a row are as they were, all the rest is."""
+        tail = self.last[at + removed :]
+        self.text = self.text[:at] + added + self.text[at + removed :]
         del self.last[at:]
-        self.append(rest)
+        same = 0
+        for end in range(at + 1, len(self.text) + 1):
+            token = self._entry(self.text, end)
+            self.last.append(token)
+            k = end - at - len(added) - 1
+            same = same + 1 if k >= 0 and tail[k] == token else 0
+            if same >= self.vocabulary.longest:
+                self.last += tail[k + 1 :]
+                return end - at
+        return len(self.text) - at
 
     def ids(self) -> list[int]:
         out, end = [], len(self.text)
@@ -236,7 +251,8 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_documents(docs, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"):
     """(id, ids array<int>): the ids of every whole text, without special tokens.
 
-    Null and empty texts have no ids; repeated rows come out as often as they come in; further columns are ignored."""
+    Null and empty texts have no ids, and very long ones are encoded whole; repeated rows come out as often as they come in;
+    ids don't matter, further columns are ignored, and an empty table gives an empty result."""
     import pyarrow as pa
 
     from rastrel.llm._io import map_slices

@@ -12,8 +12,9 @@ Jaccard index of their phrases.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterable, Iterator
-from math import isqrt
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -125,41 +126,71 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_slices(docs.select(id_col, text_col), kernel, f"`{id_col}` {kind}, fingerprint string", text_col)
 
 
-def _above(value: Column, cuts: list) -> Column:
+_PLACE = "struct<a:int,b:bigint,c:bigint>"
+
+
+def _place(id_: Column, hot: list[int], text: Column) -> Column:
+    """What rows are dealt by, in descending order: ids, null ones last; rows of hot ids and of none by a hash of the text too."""
+    crowded = id_.isNull() | id_.isin(hot) if hot else id_.isNull()
+    return F.struct(id_.isNotNull().cast("int").alias("a"), F.coalesce(id_, F.lit(0)).alias("b"), F.when(crowded, F.xxhash64(text)).otherwise(F.lit(0).cast("long")).alias("c"))
+
+
+def _literal(value: list, kind: str) -> Column:
+    """One constant of any type, however long; keys of structs are those of kind."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _above(value: Column, cuts: list[tuple[int, int, int]]) -> Column:
     """How many of the descending cuts exceed value, in two steps of about a square root of them each."""
     if not cuts:
         return F.lit(0)
     size = isqrt(len(cuts)) + 1
-    groups = [cuts[k : k + size] for k in range(0, len(cuts), size)]
-    array = lambda xs: F.array(*[F.lit(x) for x in xs])
-    passed = F.size(F.filter(array([g[-1] for g in groups]), lambda c: c > value))
-    rest = F.coalesce(F.get(F.array(*[array(g) for g in groups]), passed), F.array().cast("array<bigint>"))
-    return passed * size + F.size(F.filter(rest, lambda c: c > value)) - F.when(passed == len(groups), F.lit(len(groups) * size - len(cuts))).otherwise(F.lit(0))
+    named = [dict(zip("abc", c, strict=True)) for c in cuts]
+    groups = [named[k : k + size] for k in range(0, len(named), size)]
+    passed = F.size(F.filter(_literal([g[-1] for g in groups], f"array<{_PLACE}>"), lambda c: c > value))
+    rest = F.coalesce(F.get(_literal(groups, f"array<array<{_PLACE}>>"), passed), F.array().cast(f"array<{_PLACE}>"))
+    return F.least(F.lit(len(cuts)), passed * size) + F.size(F.filter(rest, lambda c: c > value))
+
+
+def _cuts(docs: DataFrame, id_col: str, text_col: str, parts: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """(descending cuts of the places, hot ids). An id that takes up several quantiles is hot; its rows, and those without an
+    id, are cut by quantiles of their hash. No more than a few values for each task come to the driver."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    shares = [k / parts for k in range(1, parts)] or [0.5]
+    found = ids.agg(F.percentile_approx("id", F.lit(shares), 100 * parts).alias("q"), F.count("id").alias("n"), F.count(F.lit(1)).alias("all")).first()
+    values = list(found["q"] or []) if parts > 1 else []
+    hot = sorted({v for v in values if values.count(v) > 1}) if len(set(values)) < len(values) else []
+    cuts = {(1, v, 0) for v in set(values).difference(hot)}
+    empty = found["all"] - found["n"]
+    if parts > 1 and (hot or empty * parts > found["all"]):
+        crowded = ids.where(F.col("id").isNull() | F.col("id").isin(hot)) if hot else ids.where(F.col("id").isNull())
+        for row in crowded.groupBy("id").agg(F.percentile_approx(F.xxhash64("text"), F.lit(shares), 100 * parts).alias("q")).collect():
+            times = values.count(row["id"]) + 1 if row["id"] is not None else max(1, ceil(parts * empty / found["all"]))
+            picked = [row["q"][min(len(row["q"]) - 1, k * len(row["q"]) // times)] for k in range(1, times)]
+            # Ends of the group keep its neighbours out of its first and last part.
+            cuts |= {(int(row["id"] is not None), row["id"] or 0, h) for h in (-(1 << 63), *picked, (1 << 63) - 1)}
+    return sorted(cuts, reverse=True), hot
 
 
 def ring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(id, text, task int, tail boolean), number of tasks: docs by ranges of descending id, each range with the
-    first rows of the next one (the last: of the first) as its tail. Texts are shuffled once and never sorted in one task.
-
-    Null ids come last and equal ones by text, so the order is the same in every run."""
+    """(id, place, text, task int, tail boolean), number of tasks: docs by ranges of descending place (see _place), each range
+    with the first rows of the next one (the last: of the first) as its tail. Texts are shuffled once and never sorted in
+    one task, nor do many rows of one id or of none gather in one, unless their texts are equal as well."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    quantiles = ids.agg(F.percentile_approx("id", F.lit([k / parts for k in range(1, parts)]) if parts > 1 else F.lit([0.5]), 100 * parts)).first()[0]
-    cuts = sorted(set(quantiles or []), reverse=True) if parts > 1 else []
-    task = F.coalesce(_above(F.col("id"), cuts), F.lit(len(cuts) + 1)).cast("int")
-    task = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(task)
+    cuts, hot = _cuts(docs, id_col, text_col, parts)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("place", _place(F.col("id"), hot, F.col("text")))
+    rows = rows.withColumn("task", _above(F.col("place"), cuts).cast("int"))
     # One row for each range comes to the driver.
-    heads = sorted((r["task"], r["id"]) for r in ids.select("id", task.alias("task")).groupBy("task").agg(F.max("id").alias("id")).collect())
-    n = len(cuts) + 2
-    head, back = [None] * n, [None] * n
-    for k, (t, first) in enumerate(heads):
-        head[t], back[t] = first, heads[k - 1][0]
-    pick = lambda xs, kind: F.get(F.array(*[F.lit(x).cast(kind) for x in xs]), F.col("task"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("task", task)
+    heads = {r["task"]: tuple(r["place"]) for r in rows.groupBy("task").agg(F.max("place").alias("place")).collect()}
+    order, n = sorted(heads), len(cuts) + 1
+    back = {t: order[k - 1] for k, t in enumerate(order)}
+    of_task = F.get(_literal([heads.get(t) and dict(zip("abc", heads[t], strict=True)) for t in range(n)], f"array<{_PLACE}>"), F.col("task"))
+    before = F.get(_literal([back.get(t) for t in range(n)], "array<int>"), F.col("task"))
     own = F.struct("task", F.lit(False).alias("tail"))
-    tail = F.struct(pick(back, "int").alias("task"), F.lit(True).alias("tail"))
-    first = F.col("id").eqNullSafe(pick(head, "long"))
-    return rows.select("id", "text", F.explode(F.when(first, F.array(own, tail)).otherwise(F.array(own))).alias("to")).select("id", "text", "to.task", "to.tail"), n
+    tail = F.struct(before.alias("task"), F.lit(True).alias("tail"))
+    to = F.explode(F.when(F.col("place") == of_task, F.array(own, tail)).otherwise(F.array(own)))
+    return rows.select("id", "place", "text", to.alias("to")).select("id", "place", "text", "to.task", "to.tail"), n
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,10 +198,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of the next row's text, and how like its fingerprint is to that one and to the next row's.
 
     Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Ids are whole
-    numbers; after the last row comes the first. Null texts are empty. Equal ids are ordered by text and null ids
-    come last; repeated rows are rows of their own. Further columns are ignored."""
+    numbers; after the last row comes the first. Null texts are empty, long ones count whole. Equal ids are ordered by text
+    (hot ones by its hash first), and so are null ids, which come last; repeated rows are rows of their own. Further
+    columns are ignored, whatever they are named. An empty table gives an empty result."""
     rows, n = ring(docs, id_col, text_col)
-    rows = rows.repartitionById(n, F.col("task")).sortWithinPartitions("tail", F.desc_nulls_last("id"), "text")
+    rows = rows.repartitionById(n, F.col("task")).sortWithinPartitions("tail", F.desc("place"), "text")
 
     def edited(text: str, following: str) -> str:
         third = len(text) // 3

@@ -34,7 +34,7 @@ SIMILAR = (4, 5)
 #: Buckets of a class, and minima in the key of each.
 BANDS, ROWS = 24, 4
 #: Shingles of a bucket that one task searches, and comparisons of a larger one before it is dealt into chunks.
-HOT, ROUNDS = 1 << 17, 4
+HOT, ROUNDS = 1 << 15, 4
 _SLACK = 1e-9
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _TURNS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U64)).astype(np.uint32).reshape(2, -1)

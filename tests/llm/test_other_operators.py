@@ -44,6 +44,67 @@ def test_compare_with_next_edges(spark):
     assert fingerprint.compare_with_next(spark.createDataFrame([(1, "abcabc")], "doc_id long, text string")).first().near_next == 1
 
 
+def test_ring_of_hot_ids(spark):
+    """A third of all rows has one id, another none: they are dealt out, and each row still meets the next one."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdef") for _ in range(6)) for _ in range(400)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, words[k] * 3) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, n = fingerprint.ring(docs)
+    counts = [r["count"] for r in dealt.where("not tail").groupBy("task").count().collect()]
+    assert sum(counts) == 400 and max(counts) < 200 and len(counts) > 2
+    got = fingerprint.compare_with_next(docs).collect()
+    assert len(got) == 400 and sorted((r.doc_id or -1) for r in got) == sorted((i or -1) for i, _ in rows)
+    # Each text is another's next one exactly once: the edited text ends in the next one's first third.
+    ends = sorted(t[: len(t) // 3] for _, t in rows)
+    own = {hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest(): u[: len(t) // 3] for _, t in rows for _, u in rows}
+    assert sorted(own[r.edited_sha256] for r in got) == ends
+
+
+def plain_next_level(names):
+    """One level of parsing for one list of names, symbol by symbol."""
+    u64 = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & u64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & u64
+        return x ^ (x >> 31)
+
+    runs = []
+    for x in names:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    names = [x if n == 1 else mix((x + n * 0xC2B2AE3D27D4EB4F) & u64) for x, n in runs]
+
+    def toss(a, before):
+        low = (a ^ before) & -(a ^ before)
+        return 2 * (low.bit_length() - 1) + (a & low != 0)
+
+    labels = [toss(a, names[k - 1] if k else ~a & u64) for k, a in enumerate(names)]
+    for _ in range(3):
+        labels = [toss(a, labels[k - 1] if k else ~a & 255) for k, a in enumerate(labels)]
+    opens = [0] + [k for k in range(1, len(names) - 1) if labels[k] > labels[k - 1] and labels[k] >= labels[k + 1]]
+    radix = 0x9E3779B97F4A7C15 | 1
+    phrases = [names[a:b] for a, b in zip(opens, [*opens[1:], len(names)], strict=True)] if names else []
+    return [mix((sum(x * pow(radix, j, 1 << 64) for j, x in enumerate(p)) + len(p) * 0x165667B19E3779F9) & u64) for p in phrases]
+
+
+def test_parsing_matches_a_plain_version():
+    rng = random.Random(8)
+    texts = ["", "a", "aaaa", "abab" * 9, "é" * 5] + ["".join(rng.choice("ab cde") for _ in range(rng.randint(1, 400))) for _ in range(25)]
+    for text in texts:
+        names = [int(fingerprint._BYTE[b]) for b in text.encode()]
+        found = []
+        for level in range(1, 5):
+            names = plain_next_level(names)
+            found.append({(x >> 32) & ~1 | (level < 3) for x in names})
+        want = found[2] | found[3]
+        got = set(fingerprint.sketches(pa.array([text]))[0].tolist())
+        assert got in (want, want | found[0] | found[1]), text
+
+
 def test_quality_model(spark, sf_dir):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality_model.learn(docs, labels)
@@ -59,6 +120,42 @@ def test_quality_model(spark, sf_dir):
     assert quality_model.classify(docs.limit(0), empty).collect() == [] and quality_model.classify(more, empty).first().score == 0.5
 
 
+def test_trees_and_scores_match_plain_versions():
+    """Each step of the fit by brute force, and a score as the sum of its bins one by one."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    g, h = rng.normal(size=9), rng.random(9) + 0.1
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+    cuts = [0, 9]
+    while len(cuts) <= quality_model.LEAVES:
+        tried = [(gain(a, k) + gain(k, b) - gain(a, b), k) for a, b in zip(cuts, cuts[1:], strict=False) for k in range(a + 1, b)]
+        if not tried or max(tried)[0] <= 1e-9:
+            break
+        cuts = sorted([*cuts, max(tried)[1]])
+    want = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + 1)) for a, b in zip(cuts, cuts[1:], strict=False)])
+    assert np.allclose(quality_model._tree(g, h), want)
+    g2, h2 = rng.normal(size=(5, 4)), rng.random((5, 4)) + 0.1
+    best = max(sum(g2[a, b].sum() ** 2 / (h2[a, b].sum() + 1) for a in (slice(0, i), slice(i, 5)) for b in (slice(0, j), slice(j, 4))) for i in range(1, 5) for j in range(1, 4))
+    assert abs(quality_model._cross(g2, h2)[0] - best) < 1e-9
+    n = len(quality_model.FEATURES)
+    x = rng.normal(size=(200, n))
+    model = quality_model.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    for row, score in zip(x[:20], model.score(x[:20]), strict=True):
+        at = [sum(e <= v for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.base + sum(t[k] for t, k in zip(model.tables, at, strict=True)) + sum(t[at[i], at[j]] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_classifier_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", 5.0, "q"), (None, None, 6.0, "r")], "doc_id long, text string, score double, predicted string")
+    model = quality_model.fit(quality_model.features(pa.array(["a b"])), __import__("numpy").array([1.0]))
+    got = quality_model.classify(docs, model)
+    assert got.dtypes == [("doc_id", "bigint"), ("text", "string"), ("score", "double"), ("predicted", "int")] and got.count() == 2
+    kept = quality_model.classify(docs, model, named=("_s", "_p")).collect()
+    assert sorted((r.score, r.predicted) for r in kept) == [(5.0, "q"), (6.0, "r")] and quality_model.scores(docs, model).count() == 2
+
+
 def test_features_of_a_batch_are_those_of_each_text():
     texts = ["", "One two two. Three!", "a\na\n\nb #", None, "ÄÖ über 42 | x", "the the the of"]
     both = quality_model.features(pa.array(texts))

@@ -48,3 +48,19 @@ def test_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = quality_rules.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x", "y"), (2, None, 6, "x", "z")], "doc_id long, text string, n_words int, kept string, words string")
+    got = quality_rules.judge(docs).orderBy("doc_id").collect()
+    assert [(r.n_words, r.kept, r.words) for r in got] == [(2, False, "y"), (0, False, "z")]
+    loose = (quality_rules.Rule("n_words", 1, None),)
+    assert [tuple(r) for r in quality_rules.keep(docs, rules=loose).collect()] == [(1, "a b", 5, "x", "y")]
+    assert quality_rules.keep(docs).dtypes == docs.dtypes
+
+
+def test_long_text_is_judged_whole(spark):
+    words = [f"w{k}" for k in range(30_000)]
+    docs = spark.createDataFrame([(1, " ".join(words + words[-9:]))], "doc_id long, text string")
+    row = quality_rules.judge(docs).first()
+    assert (row.n_words, row.n_repeat_words) == (30_009, 18)

@@ -66,3 +66,23 @@ def test_cut_keeps_the_rest_as_it_is(spark):
     docs = spark.createDataFrame([(1, same), (2, f"  one\n\ntwo {same}\nthree  ")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(docs, length=12, anchor=4).collect()}
     assert got == {1: same, 2: "  one\n\ntwo three  "}
+
+
+def test_repeated_rows_cost_no_more_than_their_number(spark):
+    same = " ".join(f"w{k}" for k in range(40))
+    rows = lambda n: [(5, "x y z " + same)] * n + [(3, same + " end"), (4, "q " + same[:120])]
+    counts = []
+    for n in (20, 200):
+        docs = spark.createDataFrame(rows(n), "doc_id long, text string")
+        counts.append(substring_dedup.repeats(docs, length=12, anchor=4).where("id = 5").count())
+    assert counts[1] <= 11 * counts[0] and found(spark, rows(200)) == brute(rows(200), 12)
+
+
+def test_columns_may_clash_and_texts_be_long(spark):
+    same = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, same, "a", "t"), (2, "x " * 40_000 + same, "b", "u")], "doc_id long, text string, n_words string, _tag string")
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert got[2].n_words == 40_060 and got[2].n_removed == 60
+    assert got[2]._tag == "u" and docs.columns[:2] == ["doc_id", "text"]
+    kept = substring_dedup.dedup_substrings(docs, counts=("_w", "_r"))
+    assert kept.where("doc_id = 1").first().n_words == "a" and kept.columns[-2:] == ["_w", "_r"]

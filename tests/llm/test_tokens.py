@@ -7,9 +7,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rastrel.llm import bpe, packing, token_counts
+from rastrel.llm._io import materialise
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -127,3 +129,50 @@ def test_every_capacity_holds(rule):
         assert sorted(offsets[bins == b]) == sorted(np.r_[0, np.cumsum(own)[:-1]])
     with pytest.raises(ValueError):
         packing.best_fit(np.array([2000]), capacity)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_choice_of_bin_matches_a_plain_version(rule):
+    """Every piece goes to the bin that a search over all bins of any age would choose."""
+    capacity, weights = packing.Capacity(1000, 6, 300_000), (1.0, 0.05, 0.05)
+    lengths = np.sort(np.random.default_rng(4).integers(1, 500, 250))[::-1]
+    got, _ = packing.best_fit(lengths, capacity, weights, rule)
+    full = np.array(capacity, float)
+    bins: list[np.ndarray] = []
+    for size, own in zip(lengths, got, strict=True):
+        need = np.array([size, 1.0, float(size) ** 2])
+        fits = [k for k, room in enumerate(bins) if (room >= need).all()]
+        if not fits:
+            assert own == len(bins)
+            bins.append(full.copy())
+        else:
+            cost = {k: -(bins[k] * need * weights / full**2).sum() if rule == "dot" else (((bins[k] - need) / full) ** 2 * weights).sum() for k in fits}
+            assert abs(cost[own] - min(cost.values())) < 1e-12
+        bins[own] -= need
+
+
+def test_rows_without_id_are_dealt_out(spark):
+    """Pieces of one id, or of none, go to many tasks."""
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") % 50 + 1).alias("length"), F.col("id").alias("offset"))
+    got = packing.pack(materialise(rows, "test"), pieces_a_task=300).select("sequence_id", "length").collect()
+    assert len({r.sequence_id >> 32 for r in got}) >= 8 and sum(r.length for r in got) == sum(k % 50 + 1 for k in range(3000))
+
+
+def test_edits_stop_where_the_table_agrees_again():
+    vocabulary = bpe.codec(RANKS, public_tokenizers.PATTERN).vocabulary
+    text = b" ".join(b"word%d and some more text" % (k % 7) for k in range(400))
+    table = bpe.PrefixEncoder(vocabulary, text)
+    made = table.edit(100, 3, b"xyz q")
+    assert made < len(text) / 4 and table.ids() == bpe.PrefixEncoder(vocabulary, text[:100] + b"xyz q" + text[103:]).ids()
+
+
+def test_counts_by_fields(spark, reference):
+    rows = [(1, "A title", "body text\nof two lines", 3), (2, None, "only", 0), (3, "", None, 0), (1, "A title", "body text\nof two lines", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string, ends int")
+    got = token_counts.count_fields(docs, RANKS, public_tokenizers.PATTERN, ["title", "body"]).collect()
+    assert len(got) == 4
+    for r in got:
+        _, title, body, _ = rows[r.doc_id - 1]
+        whole = (title or "") + "\n" + (body or "")
+        assert r.n_tokens == len(reference.encode_ordinary(whole)) == sum(r.field_tokens.values()) and list(r.field_tokens) == ["title", "body"]
+    assert token_counts.count_fields(docs.limit(0), RANKS, public_tokenizers.PATTERN, ["title"]).collect() == []
