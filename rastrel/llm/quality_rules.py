@@ -87,8 +87,8 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     repeat = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
     step = step.drop("placed").withColumn("n_repeat_words", repeat)
     ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
-    return step.select(
-        ROW, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    found = F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.lit(100) * ratio("n_repeat_words", "n_words")).alias("repeat_percent"),
         ratio("word_chars", "n_words").alias("mean_word_chars"),
         ratio("n_symbols", "n_words").alias("symbols_per_word"),
@@ -96,6 +96,9 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ratio("stops", "n_words").alias("stop_word_ratio"),
         ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
     )
+    # A filter on plain columns would be pushed below the projections and compute their arrays over and over; one on what
+    # a generator gives stays above it.
+    return step.select(ROW, F.explode(F.array(found)).alias("found")).select(ROW, "found.*")
 
 
 def _verdicts(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
@@ -117,7 +120,4 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
 
 def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns only, whatever these are named."""
-    verdicts = _verdicts(docs, text_col, rules).select(ROW, "kept")
-    # A filter on plain columns would be pushed below the projections and compute their arrays over and over; one on what
-    # a generator gives stays above it.
-    return verdicts.select(ROW, F.explode(F.array("kept")).alias("kept")).where("kept").select(f"{ROW}.*")
+    return _verdicts(docs, text_col, rules).where("kept").select(f"{ROW}.*")
