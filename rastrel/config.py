@@ -117,3 +117,8 @@ class PrimitiveFirst(Common):
     ellipse_subshape_rotation_tolerance_deg: float = 18.0
     ellipse_subshape_confidence_threshold: float = 0.62
     prefer_hole_primitives: bool = True
+
+    def as_classify_first(self) -> ClassifyFirst:
+        """The settings that both orders share, with the other order's defaults for the rest, drawing one colour."""
+        shared = {f.name for f in fields(Common)}
+        return ClassifyFirst(vectorization_mode="monochrome", **{k: v for k, v in asdict(self).items() if k in shared})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +21,28 @@ def parse_hex_color(text: Column) -> Column:
     return F.when(six.rlike("^[0-9a-fA-F]{6}$"), F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body uses it."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda held, _: held, body)
+
+
 def format_number(value: Column) -> Column:
-    """Two decimals by the exact binary value, half to even, no trailing zeros and no negative zero."""
-    exact = F.bround(value.cast("decimal(38,18)"), 2).cast("string")
-    short = F.regexp_replace(F.regexp_replace(exact, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(F.abs(value) < 1e-9, F.lit("0")).when(short.isin("-0", ""), F.lit("0")).otherwise(short)
+    """Two decimals by the exact binary value, half to even, no trailing zeros and no negative zero.
+
+    The fraction is split at 2**-20, so that its 200-fold is compared with an odd number without rounding."""
+    def cents(v: Column, part: Column) -> Column:
+        def rounded(cent: Column, high: Column) -> Column:
+            rest, bound = (part * 1048576 - high) * 200, (2 * cent + 1) * 1048576 - high * 200
+            return cent + F.when((rest > bound) | (rest == bound) & (cent % 2 == 1), 1).otherwise(0)
+        return F.floor(F.abs(v)) * 100 + let(F.floor(part * 100), lambda cent: let(F.floor(part * 1048576), lambda high: rounded(cent, high)))
+
+    def text(v: Column, n: Column) -> Column:
+        low = n % 100
+        tail = F.when(low == 0, "").when(low % 10 == 0, F.concat(F.lit("."), (low / 10).cast("int").cast("string"))).otherwise(F.concat(F.lit("."), F.lpad(low.cast("string"), 2, "0")))
+        return F.concat(F.when((v < 0) & (n > 0), "-").otherwise(""), F.floor(n / 100).cast("string"), tail)
+
+    number = lambda v: F.when(F.abs(v) < 1e-9, F.lit("0")).otherwise(let(let(F.abs(v) - F.floor(F.abs(v)), lambda part: cents(v, part)), lambda n: text(v, n)))
+    return let(value.cast("double"), number)
 
 
 def metadata_float(metadata: Column, key: str, default: float) -> Column:

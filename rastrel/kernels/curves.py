@@ -45,7 +45,7 @@ def _better(curve: np.ndarray, p: np.ndarray, t: np.ndarray) -> np.ndarray:
     d2 = s * second[0] + u * second[1]
     slope = (d1 * d1).sum(1) + (off * d2).sum(1)
     step = np.where(np.abs(slope) > 1e-12, (off * d1).sum(1) / np.where(np.abs(slope) > 1e-12, slope, 1), 0)
-    return np.clip(t - step, 0, 1)
+    return np.maximum.accumulate(np.clip(t - step, 0, 1))  # in order, as the points are
 
 
 def fit_open(p: np.ndarray, error: float = 2.0, left: np.ndarray | None = None, right: np.ndarray | None = None) -> list[np.ndarray]:
@@ -64,7 +64,7 @@ def fit_open(p: np.ndarray, error: float = 2.0, left: np.ndarray | None = None,
         if run[-1] < 1e-12:
             continue
         t = run / run[-1]
-        for _ in range(5):
+        for _ in range(8):
             curve = _solve(q, t, a, b)
             off = ((evaluate(curve, t) - q) ** 2).sum(1)
             worst = int(np.argmax(off))

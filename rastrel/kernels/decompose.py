@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import Any
 
 import numpy as np
 
@@ -10,6 +11,8 @@ from rastrel.kernels import curves, ring
 
 #: Handle of a cubic quarter circle in radii.
 QUARTER = 0.5523
+#: Least ratio of a corner's edges for a fillet.
+BALANCE = 0.58
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -46,12 +49,12 @@ def straight_runs(p: np.ndarray, marks: list[int], tolerance: float = 0.9) -> li
     return out
 
 
-def bottom_ellipse(p: np.ndarray, band: float = 0.58, share: float = 0.42, aspect: tuple[float, float] = (1.2, 4.5), symmetry: float = 0.2, turn: float = 18.0, least: float = 0.62) -> dict | None:
+def bottom_ellipse(p: np.ndarray, band: float = 0.58, share: float = 0.42, aspect: tuple[float, float] = (1.2, 4.5), symmetry: float = 0.2, turn: float = 18.0, least: float = 0.62, least_area: float = 350.0) -> dict | None:
     """The run in a contour's lower band that, mirrored at its middle, fits a flat ellipse best; None below `least`."""
     n = len(p)
     low, high = p.min(0), p.max(0)
     size = high - low
-    if n < 8 or min(size) <= 1e-6 or abs(ring.area(p)) < 350:
+    if n < 8 or min(size) <= 1e-6 or abs(ring.area(p)) < least_area:
         return None
     best = None
     for a, count in runs(p[:, 1] >= low[1] + band * size[1]):
@@ -59,7 +62,7 @@ def bottom_ellipse(p: np.ndarray, band: float = 0.58, share: float = 0.42, aspec
         wide = float(np.ptp(q[:, 0]))
         if count < max(8, n / 12) or wide < share * size[0]:
             continue
-        axis = float(q[[0, -1], 0].mean())
+        axis = float((q[:, 0].min() + q[:, 0].max()) / 2)
         both = np.vstack([q, (q * (-1, 1) + (2 * axis, 0))[1:-1][::-1]])
         # Ellipse about the axis by least squares: (x - axis)^2 A + y^2 B + y C = 1.
         x, y = both[:, 0] - axis, both[:, 1] - q[0, 1]
@@ -99,61 +102,15 @@ def line(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([a, a + (b - a) / 3, b - (b - a) / 3, b])
 
 
-def arc_curves(cx: float, cy: float, rx: float, ry: float, start: float, sweep: float) -> list[np.ndarray]:
-    """Cubics of at most a quarter turn along an upright elliptical arc."""
-    n = max(1, math.ceil(abs(sweep) / (math.pi / 2) - 1e-9))
-    step = sweep / n
-    handle = 4 / 3 * math.tan(step / 4)
-    out = []
-    for k in range(n):
-        t, u = start + k * step, start + (k + 1) * step
-        p, q = np.array([math.cos(t), math.sin(t)]), np.array([math.cos(u), math.sin(u)])
-        unit = np.array([p, p + handle * np.array([-p[1], p[0]]), q - handle * np.array([-q[1], q[0]]), q])
-        out.append(unit * (rx, ry) + (cx, cy))
-    return out
-
-
-def loop(p: np.ndarray, tolerance: float = 1.0, line_tolerance: float = 0.9, arc_confidence: float = 0.8, tension: float = 0.72) -> list[np.ndarray]:
-    """Between anchors: the bottom ellipse's arc, a line, a circular arc, or else a spline."""
-    bottom = bottom_ellipse(p)
-    marks = anchors(p, tolerance, (bottom["start"], bottom["end"]) if bottom else ())
-    straight = {(r["start"], r["end"]) for r in straight_runs(p, marks, line_tolerance)}
-    if bottom:
-        inside = {int(k) for k in np.arange(bottom["start"] + 1, bottom["start"] + (bottom["end"] - bottom["start"]) % len(p)) % len(p)}
-        marks = [m for m in marks if m not in inside]
-    out: list[np.ndarray] = []
-    n = len(marks)
-    for k in range(n):
-        a, b = marks[k], marks[(k + 1) % n]
-        if bottom and (a, b) == (bottom["start"], bottom["end"]):
-            t = [math.atan2((p[m, 1] - bottom["cy"]) / bottom["ry"], (p[m, 0] - bottom["cx"]) / bottom["rx"]) for m in (a, b)]
-            sweep = (t[1] - t[0]) % (2 * math.pi)
-            middle = p[(a + ((b - a) % len(p)) // 2) % len(p)]
-            way = math.atan2((middle[1] - bottom["cy"]) / bottom["ry"], (middle[0] - bottom["cx"]) / bottom["rx"])
-            if (way - t[0]) % (2 * math.pi) > sweep:
-                sweep -= 2 * math.pi
-            if abs(sweep) > 0.2:
-                part = arc_curves(bottom["cx"], bottom["cy"], bottom["rx"], bottom["ry"], t[0], sweep)
-                part[0][0], part[-1][3] = p[a], p[b]
-                out += part
-                continue
-        if (a, b) in straight:
-            out.append(line(p[a], p[b]))
-            continue
-        arc = curves.arc_fit(span(p, a, b)) if (b - a) % len(p) >= 4 else None
-        if arc and arc["confidence"] >= arc_confidence and abs(math.degrees(arc["sweep"])) >= 18:
-            part = arc_curves(arc["cx"], arc["cy"], arc["r"], arc["r"], arc["start"], arc["sweep"])
-            part[0][0], part[-1][3] = p[a], p[b]
-            out += part
-        else:
-            out.append(catmull_rom(p[marks[k - 1]], p[a], p[b], p[marks[(k + 2) % n]], tension))
-    return out
-
-
 def spline_loop(p: np.ndarray, tolerance: float = 0.8, tension: float = 0.16) -> list[np.ndarray]:
     """A cardinal spline through the simplified ring, with straight edges at sharp corners."""
     q = ring.simplify_closed(p, tolerance)
-    n, sharp = len(q), ring.hard_corners(q)
+    return cardinal(q, ring.hard_corners(q), tension)
+
+
+def cardinal(q: np.ndarray, sharp: set[int], tension: float = 0.16) -> list[np.ndarray]:
+    """A cardinal spline around a ring, with straight edges at the sharp places."""
+    n = len(q)
     out = []
     for k in range(n):
         a, b = q[k], q[(k + 1) % n]
@@ -177,8 +134,8 @@ def ellipse_curves(cx: float, cy: float, rx: float, ry: float, degrees: float =
     return out
 
 
-def merge_short(segments: list[np.ndarray], least: float = 3.0) -> list[np.ndarray]:
-    """Curves with chords under `least` joined to the shorter neighbour, outer handles kept."""
+def merge_short(segments: list[np.ndarray], least: float = 3.0, closed: bool = True) -> list[np.ndarray]:
+    """Curves with chords under `least` joined to the shorter neighbour, outer handles kept; an open chain's ends have one."""
     out = list(segments)
     chord = lambda c: float(np.hypot(*(c[3] - c[0])))
     k = 0
@@ -187,7 +144,9 @@ def merge_short(segments: list[np.ndarray], least: float = 3.0) -> list[np.ndarr
             k += 1
             continue
         before, after = (k - 1) % len(out), (k + 1) % len(out)
-        a, b = (before, k) if chord(out[before]) <= chord(out[after]) else (k, after)
+        back = closed or k > 0
+        ahead = closed or k < len(out) - 1
+        a, b = (before, k) if back and (not ahead or chord(out[before]) <= chord(out[after])) else (k, after)
         joined = np.array([out[a][0], out[a][1], out[b][2], out[b][3]])
         out[a] = joined
         del out[b]
@@ -196,20 +155,32 @@ def merge_short(segments: list[np.ndarray], least: float = 3.0) -> list[np.ndarr
 
 
 def fillet(before: np.ndarray, p: np.ndarray, after: np.ndarray, ratio: float = 0.11, most: float = 3.25, scale: float = 1.0) -> dict | None:
-    """A rounded corner {radius, trim, start, end, curve}, or None where it would be too small."""
+    """A rounded corner {radius, trim, start, end, curve, sweep}, or None where it would be too small or its edges too unlike."""
     u, v = before - p, after - p
     a, b = float(np.hypot(*u)), float(np.hypot(*v))
-    if min(a, b) <= 1:
+    short = min(a, b)
+    if short <= 1 or short / max(a, b) < BALANCE:
         return None
     u, v = u / a, v / b
     theta = math.acos(float(np.clip(u @ v, -1, 1)))
-    if theta < 1e-6 or theta > math.pi - 1e-6:
+    if theta < 1e-6 or theta >= math.pi - 1e-3:
         return None
-    short = min(a, b)
-    radius = min(most, short * ratio * scale, 0.9 * 0.24 * short * math.tan(theta / 2))
-    trim = radius / math.tan(theta / 2)
+    slope = math.tan(theta / 2)
+    radius = min(most, short * ratio * scale, 0.9 * 0.24 * short * slope)
+    trim = radius / slope
     start, end = p + u * trim, p + v * trim
     if radius <= 0.2 or trim <= 0.2 or np.hypot(*(end - start)) <= 0.5:
         return None
     handle = 4 / 3 * math.tan((math.pi - theta) / 4) * radius
-    return {"radius": radius, "trim": trim, "start": start, "end": end, "curve": np.array([start, start - u * handle, end - v * handle, end])}
+    way = (p[0] - start[0]) * (end[1] - p[1]) - (p[1] - start[1]) * (end[0] - p[0]) > 0
+    return {"radius": radius, "trim": trim, "start": start, "end": end, "curve": np.array([start, start - u * handle, end - v * handle, end]), "sweep": bool(way)}
+
+
+def corner_fillet(before: np.ndarray, p: np.ndarray, after: np.ndarray, s: Any) -> dict | None:
+    """fillet() by settings: the nearer an angle is to a sharp one, the smaller its radius."""
+    u, v = before - p, after - p
+    size = float(np.hypot(*u) * np.hypot(*v))
+    angle = math.degrees(math.acos(float(np.clip(u @ v / size, -1, 1)))) if size > 1e-12 else 180.0
+    wide = s.min_corner_angle_deg - s.sharp_corner_angle_deg
+    scale = min(1.0, max(0.25, (angle - s.sharp_corner_angle_deg) / wide)) if wide > 0 else 1.0
+    return fillet(before, p, after, s.fillet_radius_ratio, s.max_fillet_radius, scale)

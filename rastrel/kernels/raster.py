@@ -99,13 +99,12 @@ def borders(mask: np.ndarray) -> list[dict]:
     solid, empty = components(inner, eight=True), components(~inner)
     outside = empty[0, 0]
     found: dict[tuple[bool, int], dict] = {}
-    for name in range(1, int(solid.max()) + 1):
-        y, x = np.unravel_index(int(np.argmax(solid == name)), solid.shape)
+    first = lambda labels: {int(n): divmod(int(k), labels.shape[1]) for n, k in zip(*np.unique(labels, return_index=True), strict=True) if n}
+    for name, (y, x) in first(solid).items():
         ground = int(empty[y, x - 1])
         found[False, name] = {"hole": False, "cells": follow(inner, y, x, 0), "up": None if ground == outside else (True, ground)}
-    for name in range(1, int(empty.max()) + 1):
+    for name, (y, x) in first(empty).items():
         if name != outside:
-            y, x = np.unravel_index(int(np.argmax(empty == name)), empty.shape)
             found[True, name] = {"hole": True, "cells": follow(inner, y, x - 1, 4), "up": (False, int(solid[y, x - 1]))}
     ids = {k: n for n, k in enumerate(sorted(found, key=lambda k: (found[k]["cells"][0][1], found[k]["cells"][0][0], k[0])))}
 
@@ -163,11 +162,47 @@ def otsu(grey: np.ndarray) -> int:
     return int(np.argmax(spread)) if spread.max() > 0 else 127
 
 
-def foreground(grey: np.ndarray, threshold: int | None = None, invert: bool = False) -> np.ndarray:
-    """The mask of field >= level in 32-bit numbers, as pixels.mask has it."""
+def field(grey: np.ndarray, alpha: np.ndarray | None = None, invert: bool = False) -> np.ndarray:
+    """Foreground strength in 32-bit numbers: tone, or the larger of tone and alpha where the image is partly transparent."""
     tone = grey.astype(np.float32) / np.float32(255)
-    level = np.float32((otsu(grey) if threshold is None else threshold) / 255.0 if invert else 1.0 - (otsu(grey) if threshold is None else threshold) / 255.0)
-    return (tone if invert else np.float32(1) - tone) >= level
+    tone = tone if invert else np.float32(1) - tone
+    if alpha is None or not alpha.size or alpha.max() == 0 or alpha.min() / 255.0 >= 0.999:
+        return tone
+    return np.maximum(tone, alpha.astype(np.float32) / np.float32(255))
+
+
+def level(threshold: int, invert: bool = False) -> np.float32:
+    """A grey threshold as a level of field()."""
+    return np.float32(threshold / 255.0 if invert else 1.0 - threshold / 255.0)
+
+
+def foreground(grey: np.ndarray, threshold: int | None = None, invert: bool = False, alpha: np.ndarray | None = None, bias: int = 0) -> np.ndarray:
+    """The mask of field >= level in 32-bit numbers, as pixels.mask has it; bias moves the threshold, Otsu's or the given one."""
+    chosen = min(255, max(0, (otsu(grey) if threshold is None else threshold) + bias))
+    return field(grey, alpha, invert) >= level(chosen, invert)
+
+
+def erode(mask: np.ndarray) -> np.ndarray:
+    """Set where the whole 3x3 neighbourhood is; cells outside count as unset."""
+    return _stencil(mask, np.logical_and)
+
+
+def dilate(mask: np.ndarray) -> np.ndarray:
+    """Set where any cell of the 3x3 neighbourhood is."""
+    return _stencil(mask, np.logical_or)
+
+
+def _stencil(mask: np.ndarray, join: np.ufunc) -> np.ndarray:
+    p = np.pad(mask.astype(bool), 1)
+    rows = join(join(p[:-2], p[1:-1]), p[2:])
+    return join(join(rows[:, :-2], rows[:, 1:-1]), rows[:, 2:])
+
+
+def morphology(mask: np.ndarray, steps: str) -> np.ndarray:
+    """steps, a letter each: e(rode), d(ilate), o(pen: both), c(lose: both the other way)."""
+    for way in steps.replace("o", "ed").replace("c", "de"):
+        mask = erode(mask) if way == "e" else dilate(mask)
+    return mask
 
 
 def resize_longest(grey: np.ndarray, target: int) -> np.ndarray:

@@ -1,15 +1,17 @@
-"""From one mask to shapes: contours, clean-up, classification and fitting, in two orders of preference."""
+"""From one mask to typed shapes: contours, clean-up and fitting, in two orders of preference, by their settings."""
 
 from __future__ import annotations
 
-import math
+from typing import Any
 
 import numpy as np
 
-from rastrel.kernels import curves, decompose, raster, ring
+from rastrel.config import ClassifyFirst, Common, PrimitiveFirst
+from rastrel.kernels import fitting, geometry, primitive_first, raster, ring
+from rastrel.kernels.geometry import Region, Shape
 
 
-def regions(mask: np.ndarray, least_area: float = 32, least_hole: float = 16, scale: tuple[float, float] = (1.0, 1.0), subpixel: bool = True) -> list[dict]:
+def regions(mask: np.ndarray, least_area: float = 32, least_hole: float = 16, scale: tuple[float, float] = (1.0, 1.0), subpixel: bool = True, offset: tuple[float, float] = (0.0, 0.0)) -> list[dict]:
     """Regions {id, outer, holes, area} by descending area: borders of even depth with the holes right below them.
 
     Outer rings have positive shoelace area with y down, holes negative. Regions are numbered by their first cell."""
@@ -19,7 +21,7 @@ def regions(mask: np.ndarray, least_area: float = 32, least_hole: float = 16, sc
     borders = raster.borders(mask)
 
     def contour(border: dict) -> np.ndarray | None:
-        p = ring.dedupe((np.array(border["cells"], float) + half) * scale)
+        p = ring.dedupe((np.array(border["cells"], float) + half) * scale + offset)
         if len(p) < 3 or abs(ring.area(p)) < 1e-9:
             return None
         return p[::-1] if (ring.area(p) < 0) != border["hole"] else p
@@ -42,90 +44,54 @@ def regions(mask: np.ndarray, least_area: float = 32, least_hole: float = 16, sc
 
 def tidy(mask: np.ndarray, least_area: int = 32, least_hole: int = 16, keep_gaps: bool = True, opens: int = 0, closes: int = 0) -> np.ndarray:
     """A mask without specks and pinholes, after opening and closing it."""
-    def near(m: np.ndarray, all_: bool) -> np.ndarray:
-        p = np.pad(m, 1)
-        parts = [p[dy : dy + m.shape[0], dx : dx + m.shape[1]] for dy in range(3) for dx in range(3)]
-        return np.logical_and.reduce(parts) if all_ else np.logical_or.reduce(parts)
-
-    for _ in range(opens):
-        mask = near(near(mask, True), False)
-    for _ in range(closes):
-        mask = near(near(mask, False), True)
+    mask = raster.morphology(mask, "o" * opens + "c" * closes)
     mask = raster.remove_small(mask, max(2, least_area // 4))
     return raster.fill_holes(mask, max(1, least_hole // (4 if keep_gaps else 2)))
 
 
-def fit_freeform(p: np.ndarray, hole: bool) -> dict:
-    """Curves if they pass the gate, at two tolerances, else the simplified ring, else the ring as it is."""
-    corners = ring.hard_corners(p, 60.0)
-    for error in (2.0, 1.2):
-        found = decompose.merge_short(curves.fit_closed(p, corners, error))
-        if found and ring.passes_gate(curves.sample(found), p, hole):
-            return {"kind": "curves", "path": curves.path(found), "segments": len(found)}
-    found = decompose.spline_loop(p)
-    if ring.passes_gate(curves.sample(found), p, hole):
-        return {"kind": "spline", "path": curves.path(found), "segments": len(found)}
-    for tolerance in (0.8, 0.5):
-        q = ring.simplify_closed(p, tolerance)
-        if ring.passes_gate(q, p, hole):
-            return {"kind": "polyline", "path": curves.polygon(q), "segments": len(q)}
-    return {"kind": "polyline", "path": curves.polygon(p), "segments": len(p)}
-
-
-def fit_classified(p: np.ndarray, hole: bool) -> dict:
-    """Classification first: a recognised primitive that passes the gate, else freeform."""
-    shape = ring.classify(p, hole)
-    if shape["kind"] not in ("freeform", "dshape") and ring.passes_gate(ring.outline(shape), p, hole):
-        out = {"kind": shape["kind"], "segments": 1, **{k: float(shape[k]) for k in ("cx", "cy", "rx", "ry", "angle", "radius") if k in shape}}
-        if "polygon" in shape:
-            out |= {"path": curves.polygon(np.asarray(shape["polygon"])), "segments": len(shape["polygon"])}
-        else:
-            out["path"] = curves.path(curves.fit_closed(ring.outline(shape), set(), 0.5))
-        return out
-    return fit_freeform(p, hole)
-
-
-# Fixed values of the primitive-first order: least confidence, allowed area ratio, and bonus by kind.
-_FIRST = {"circle": (0.88, 0.80, 1.20, 0.05), "ellipse": (0.84, 0.72, 1.30, 0.03), "rounded_rectangle": (0.88, 0.74, 1.26, 0.02), "rectangle": (0.90, 0.82, 1.18, 0.0)}
-
-
-def fit_primitive_first(p: np.ndarray, hole: bool) -> dict:
-    """Every primitive is tried under its gates and ranked by confidence with a bonus; freeform where none holds."""
-    d = ring.describe(p)
-    round_ = ring.circle(p, d)
-    tried = []
-    for order, shape in enumerate((round_, ring.ellipse(p, d, None), ring.rounded_rectangle(p, d), ring.rectangle(p, d))):
-        if shape is None or hole and shape["kind"] not in ("circle", "ellipse"):
-            continue
-        least, low, high, bonus = _FIRST[shape["kind"]]
-        sure = shape["fit"] + (0.04 if hole and shape["kind"] in ("circle", "ellipse") else 0.0)
-        a, b, r = shape["rx"], shape["ry"], shape["radius"]
-        full = math.pi * a * b if shape["kind"] in ("circle", "ellipse") else 4 * a * b - (4 - math.pi) * r * r
-        ratio = d["area"] / max(full, 1e-9)
-        aspect = d["aspect"] if shape["kind"] == "circle" else 1.0
-        near = (0.84, 1.16) if hole else (0.90, 1.10)
-        inner = 0.05 <= r / max(min(a, b), 1e-9) <= 0.30 if shape["kind"] == "rounded_rectangle" else True
-        if sure >= least - (0.03 if hole else 0.0) and low <= ratio <= high and near[0] <= aspect <= near[1] and inner and ring.passes_gate(ring.outline(shape), p, hole):
-            tried.append((sure + bonus, -order, shape))
-    if not tried:
-        found = decompose.loop(p)
-        if found and ring.passes_gate(curves.sample(found), p, hole):
-            return {"kind": "curves", "path": curves.path(found), "segments": len(found)}
-        return fit_freeform(p, hole)
-    shape = max(tried, key=lambda t: t[:2])[2]
-    return {"kind": shape["kind"], "segments": 1, "path": curves.path(curves.fit_closed(ring.outline(shape), set(), 0.5)), **{k: float(shape[k]) for k in ("cx", "cy", "rx", "ry", "angle", "radius")}}
-
-
-def shapes(mask: np.ndarray, primitive_first: bool = False, least_area: int = 32, least_hole: int = 16) -> list[dict]:
-    """Fitted shapes of a mask: {region, holes: [loop], **outer loop}; a shape one of whose loops can't be fitted becomes polylines."""
-    fit = fit_primitive_first if primitive_first else fit_classified
+def tidied(mask: np.ndarray, s: Common) -> np.ndarray:
+    return tidy(mask, s.min_region_area, s.min_hole_area, s.preserve_narrow_gaps, s.morph_open_iterations, s.morph_close_iterations)
+
+
+def cleaned(found: dict, s: Common) -> Region:
+    """A typed region of cleaned contours, which hold the ids of their parent and children."""
+    own = f"{found['id']}_outer"
+    holes = [geometry.contour(f"{found['id']}_hole_{k:03d}", ring.clean(h, True, s), True, own) for k, h in enumerate(found["holes"])]
+    outer = geometry.contour(own, ring.clean(found["outer"], False, s))
+    return Region(found["id"], outer._replace(children=tuple(h.contour_id for h in holes)), holes)
+
+
+def structure(mask: np.ndarray, s: Common, scale: tuple[float, float] = (1.0, 1.0)) -> list[tuple[Region, float]]:
+    """(cleaned region, area before clean-up) of a mask, largest first."""
+    found = regions(tidied(mask, s), s.min_region_area, s.min_hole_area, scale, s.subpixel_contours)
+    return [(cleaned(r, s), r["area"]) for r in found]
+
+
+def fit(region: Region, s: Common, **names: Any) -> tuple[Shape, bool, str]:
+    """(shape, whether the fitted loops go together, kind of the outer loop) in the order that the settings stand for."""
+    if isinstance(s, PrimitiveFirst):
+        shape, valid = primitive_first.assemble(primitive_first.decompose_region(region, s), s)
+    else:
+        shape, valid, _ = fitting.fit_classified_region(region, s, **names)
+    return shape, valid, kind_of(shape.outer)
+
+
+def kind_of(loop: geometry.Loop) -> str:
+    if loop.primitive:
+        return loop.primitive.kind
+    kinds = {x.kind for x in loop.segments}
+    return "polyline" if kinds <= {"L"} else "arcs" if kinds & {"A", "E"} else "curves"
+
+
+def settings_of(primitive_first: bool, s: Common | None) -> Common:
+    return s or (PrimitiveFirst() if primitive_first else ClassifyFirst())
+
+
+def shapes(mask: np.ndarray, primitive_first: bool = False, settings: Common | None = None, scale: tuple[float, float] = (1.0, 1.0), **names: Any) -> list[tuple[Shape, float, str]]:
+    """(shape, area, kind) of every region of a mask, largest first."""
+    s = settings_of(primitive_first, settings)
     out = []
-    for r in regions(tidy(mask, least_area, least_hole), least_area, least_hole):
-        outer = ring.clean(r["outer"])
-        holes = [ring.clean(h, True) for h in r["holes"]]
-        try:
-            loops = [fit(outer, False), *[fit(h, True) for h in holes]]
-        except (ValueError, FloatingPointError, np.linalg.LinAlgError):
-            loops = [{"kind": "polyline", "path": curves.polygon(p), "segments": len(p)} for p in (outer, *holes)]
-        out.append({"region": r["id"], "area": r["area"], "n_holes": len(holes), "hole_paths": [x["path"] for x in loops[1:]], "n_segments": sum(x["segments"] for x in loops), **{k: v for k, v in loops[0].items() if k != "segments"}})
+    for region, area in structure(mask, s, scale):
+        shape, _, kind = fit(region, s, **names)
+        out.append((shape, area, kind))
     return out

@@ -73,16 +73,23 @@ def nearest_colour(colours: DataFrame, text: str, key: str = KEY) -> DataFrame:
     return colours.groupBy(key).agg(F.min_by("ix", F.struct(square, c("ix"))).alias("background"))
 
 
-def membership(labelled: DataFrame, colours: DataFrame, label: int, key: str = KEY) -> DataFrame:
-    """labelled with `member` double: nearest other distance over own plus nearest other; 1 with no other colour."""
+def colour_membership(colours: DataFrame, label: int, key: str = KEY) -> DataFrame:
+    """(key, ix, member double) of every colour: nearest other distance over own plus nearest other; 1 with no other colour.
+
+    A pixel's membership is its colour's, so this works on palettes alone."""
     c = F.col
     far = lambda p: F.sqrt(((c("r") - p["r"]) * (c("r") - p["r"]) + (c("g") - p["g"]) * (c("g") - p["g"]) + (c("b") - p["b"]) * (c("b") - p["b"])).cast("double"))
     held = colours.groupBy(key).agg(F.collect_list(F.struct("ix", "r", "g", "b")).alias("colours"))
-    own = F.filter("colours", lambda p: p["ix"] == label)
-    rest = F.filter("colours", lambda p: p["ix"] != label)
-    got = labelled.join(held, key).withColumn("own", F.array_min(F.transform(own, far))).withColumn("other", F.array_min(F.transform(rest, far)))
-    value = F.when(c("other").isNull(), 1.0).otherwise(F.coalesce(c("other") / F.nullif(c("own") + c("other"), F.lit(0.0)), F.lit(0.0)))
-    return got.withColumn("member", value).drop("colours", "own", "other")
+    got = held.select(key, "colours", F.explode("colours").alias("p")).select(key, "colours", "p.*")
+    own = F.array_min(F.transform(F.filter("colours", lambda p: p["ix"] == label), far))
+    other = F.array_min(F.transform(F.filter("colours", lambda p: p["ix"] != label), far))
+    got = got.select(key, "ix", own.alias("own"), other.alias("other"))
+    return got.select(key, "ix", F.when(c("other").isNull(), 1.0).otherwise(F.coalesce(c("other") / F.nullif(c("own") + c("other"), F.lit(0.0)), F.lit(0.0))).alias("member"))
+
+
+def membership(labelled: DataFrame, colours: DataFrame, label: int, key: str = KEY) -> DataFrame:
+    """labelled with `member` double, that of its colour; a palette's few rows are joined back by label."""
+    return labelled.join(colour_membership(colours, label, key).withColumnRenamed("ix", "label"), [key, "label"])
 
 
 def layers(colours: DataFrame, ground: DataFrame, key: str = KEY) -> DataFrame:

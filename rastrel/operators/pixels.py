@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,36 +66,43 @@ def mask(pixels: DataFrame, key: str = KEY, invert: bool = False) -> DataFrame:
     return foreground(pixels, key, invert).join(level, key).withColumn("m", F.col("field") >= F.col("level")).drop("level")
 
 
-def _stencil(cells: DataFrame, key: str, ways: str) -> DataFrame:
-    """(key, x, y, hits): how many of a cell and its eight neighbours are set; a set cell is dealt to nine places
-    and summed, so a 3x3 stencil is one aggregation and no self-join."""
-    shift = lambda c: F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)]))
-    near = cells.where("m").select(key, shift("x").alias("x"), "y").select(key, "x", shift("y").alias("y"))
-    return near.groupBy(key, "x", "y").agg(F.count("*").alias(ways))
+def _by_image(cells: DataFrame, steps: str, key: str) -> DataFrame:
+    """(key, x, y, m) after morphology: an image's cells come together once, whatever the number of steps, and are
+    dealt out again as rows where they are."""
+    from rastrel.kernels import raster
+
+    kind = cells.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                xs, ys, ms = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("x", "y", "m"))
+                grid = np.zeros((int(ys.max()) + 1, int(xs.max()) + 1), bool)
+                grid[ys, xs] = ms
+                out = raster.morphology(grid, steps)[ys, xs]
+                own = pa.array([batch.column(key)[k].as_py()] * len(xs), batch.schema.field(key).type)
+                yield pa.RecordBatch.from_pydict({key: own, "x": pa.array(xs.astype(np.int32)), "y": pa.array(ys.astype(np.int32)), "m": pa.array(out)})
+
+    held = cells.groupBy(key).agg(*[F.collect_list(F.coalesce(c, F.lit(False)) if c == "m" else c).alias(c) for c in ("x", "y", "m")])
+    return held.mapInArrow(run, f"`{key}` {kind}, x int, y int, m boolean")
 
 
 def dilate(cells: DataFrame, key: str = KEY) -> DataFrame:
     """(key, x, y, m): set where any cell of the 3x3 neighbourhood is."""
-    hits = _stencil(cells, key, "hits")
-    return cells.select(key, "x", "y").join(hits, [key, "x", "y"], "left").select(key, "x", "y", F.col("hits").isNotNull().alias("m"))
+    return _by_image(cells, "d", key)
 
 
 def erode(cells: DataFrame, key: str = KEY) -> DataFrame:
     """(key, x, y, m): set where the whole 3x3 neighbourhood is; cells outside count as unset."""
-    hits = _stencil(cells, key, "hits")
-    return cells.select(key, "x", "y").join(hits, [key, "x", "y"], "left").select(key, "x", "y", (F.coalesce("hits", F.lit(0)) == 9).alias("m"))
+    return _by_image(cells, "e", key)
 
 
 def binary_open(cells: DataFrame, iterations: int = 1, key: str = KEY) -> DataFrame:
-    for _ in range(iterations):
-        cells = dilate(erode(cells, key), key)
-    return cells
+    return _by_image(cells, "ed" * iterations, key)
 
 
 def binary_close(cells: DataFrame, iterations: int = 1, key: str = KEY) -> DataFrame:
-    for _ in range(iterations):
-        cells = erode(dilate(cells, key), key)
-    return cells
+    return _by_image(cells, "de" * iterations, key)
 
 
 def mask_iou(left: Column, right: Column) -> Column:
@@ -111,7 +122,23 @@ def moments(cells: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def rasters(cells: DataFrame, key: str = KEY, value: str = "m") -> DataFrame:
-    """(key, width, height, data binary): one row an image, a byte a cell in row order, for array kernels."""
-    grouped = cells.groupBy(key).agg(F.max("x").alias("w"), F.max("y").alias("h"), F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).cast("int").alias("v")))).alias("cells"))
-    packed = F.unhex(F.array_join(F.transform("cells", lambda c: F.lpad(F.hex(c["v"]), 2, "0")), ""))
-    return grouped.select(key, (F.col("w") + 1).alias("width"), (F.col("h") + 1).alias("height"), packed.alias("data"))
+    """(key, width, height, data binary): one row an image, a byte a cell in row order, for array kernels.
+
+    Cells that have no row are 0; values beyond a byte are an error."""
+    kind = cells.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, data = [], []
+            for k in range(batch.num_rows):
+                xs, ys, vs = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("x", "y", "v"))
+                if len(vs) and (vs.max() > 255 or vs.min() < 0):
+                    raise ValueError(f"{value} of image {batch.column(key)[k]} does not fit a byte")
+                grid = np.zeros((int(ys.max()) + 1, int(xs.max()) + 1), np.uint8)
+                grid[ys, xs] = vs
+                size.append(grid.shape)
+                data.append(grid.tobytes())
+            yield pa.RecordBatch.from_pydict({key: batch.column(key), "width": pa.array([s[1] for s in size], pa.int32()), "height": pa.array([s[0] for s in size], pa.int32()), "data": pa.array(data, pa.binary())})
+
+    held = cells.groupBy(key).agg(*[F.collect_list(c).alias(n) for c, n in (("x", "x"), ("y", "y"), (F.coalesce(F.col(value).cast("int"), F.lit(0)), "v"))])
+    return held.mapInArrow(run, f"`{key}` {kind}, width int, height int, data binary")

@@ -88,6 +88,25 @@ def corner_classes(points: DataFrame, smallest: float = 124.0, sharp: float = 92
     return got.where(c("angle") <= max(smallest, sharp, smooth)).withColumn("kind", kind).drop("short", "long")
 
 
+def fillets(points: DataFrame, sharp: float = 92.0, smallest: float = 124.0, ratio: float = 0.11, most: float = 3.25, key: str = KEY) -> DataFrame:
+    """(key, i, radius, trim, entry_x .. exit_y, c1x .. c2y, sweep): the fillets that fit the corners of rings.
+
+    The nearer an angle is to `sharp`, the smaller the radius; uneven edges, short ones and flat corners have none."""
+    c = F.col
+    rows = angles(points, key).withColumn("ea", F.hypot(c("px") - c("x"), c("py") - c("y"))).withColumn("eb", F.hypot(c("nx") - c("x"), c("ny") - c("y")))
+    short, theta = F.least("ea", "eb"), F.radians("angle")
+    scale = F.greatest(F.lit(0.25), F.least(F.lit(1.0), (c("angle") - sharp) / (smallest - sharp))) if smallest > sharp else F.lit(1.0)
+    radius = F.least(F.lit(most), short * ratio * scale, 0.9 * 0.24 * short * F.tan(theta / 2))
+    rows = rows.where((theta > 0) & (theta < F.pi() - 1e-3) & (short > 1) & (short / F.greatest("ea", "eb") >= 0.58)).withColumn("radius", radius).where("radius > 0.2")
+    rows = rows.withColumn("trim", c("radius") / F.tan(theta / 2)).where("trim > 0.2")
+    out = {f"{n}_{a}": c(a) + (c(f"{p}{a}") - c(a)) / c(e) * c("trim") for n, p, e in (("entry", "p", "ea"), ("exit", "n", "eb")) for a in "xy"}
+    rows = rows.withColumns(out).where(F.hypot(c("exit_x") - c("entry_x"), c("exit_y") - c("entry_y")) > 0.5)
+    handle = 4 / 3 * F.tan((F.pi() - theta) / 4) * c("radius")
+    ends = {f"c{k}{a}": c(f"{n}_{a}") - (c(f"{p}{a}") - c(a)) / c(e) * handle for k, n, p, e in ((1, "entry", "p", "ea"), (2, "exit", "n", "eb")) for a in "xy"}
+    way = (c("x") - c("entry_x")) * (c("exit_y") - c("y")) - (c("y") - c("entry_y")) * (c("exit_x") - c("x"))
+    return rows.withColumns(ends).select(key, "i", "radius", "trim", *out, *ends, (way > 0).alias("sweep"))
+
+
 def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance of a point to a segment."""
     dx, dy = bx - ax, by - ay

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rastrel.plans import kernel_queries, pixel_queries, ring_queries, scalar_queries
+from rastrel.plans import guard_queries, kernel_queries, pixel_queries, ring_queries, scalar_queries, segment_queries, span_queries
 
-_MODULES = (pixel_queries, ring_queries, scalar_queries, kernel_queries)
+_MODULES = (pixel_queries, ring_queries, scalar_queries, segment_queries, span_queries, guard_queries, kernel_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

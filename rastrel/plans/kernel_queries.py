@@ -9,19 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.operators import pixels
+from rastrel.operators import images
 from rastrel.plans import pipelines
-from rastrel.sources.procedural import pixels as raster
-from rastrel.sources.procedural import rings as event_rings
+from rastrel.sources import procedural as sources
 
 
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.rasters(pixels.mask(raster(spark, sf_dir)))
+    return images.masks(sources.images(spark, sf_dir))
 
 
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings as two arrays a row."""
-    points = event_rings(spark, sf_dir).groupBy("ring_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    points = sources.rings(spark, sf_dir).groupBy("ring_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
     return points.select("ring_id", F.transform("p", lambda q: q["x"]).alias("xs"), F.transform("p", lambda q: q["y"]).alias("ys"))
 
 
@@ -159,7 +158,7 @@ def v2_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def color_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.color_svg(raster(spark, sf_dir))
+    return pipelines.color_svg(sources.images(spark, sf_dir))
 
 
 QUERIES = {

@@ -1,118 +1,178 @@
-"""Rasters to SVG documents: masks by relational operators, contours and fits by array kernels, markup by columns."""
+"""Rasters to SVG documents by the settings of either order: masks, contours and fits by array kernels, markup by columns.
+
+Images are independent rows, so nothing is shuffled before the markup of an image comes together."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.functions.scalars import rgb_to_hex
+from rastrel.config import ClassifyFirst, Common, PrimitiveFirst
 from rastrel.operators import documents
+from rastrel.operators.images import planes
 from rastrel.operators.pixels import KEY
+from rastrel.operators.segments import LOOP, NUMBERS
 
 SHAPE = (
-    "region string, area double, kind string, cx double, cy double, rx double, ry double, angle double, radius double, "
-    "path string, n_holes int, hole_paths array<string>, n_segments int"
+    "value int, ordinal int, region string, layer_id string, z int, fill string, area double, kind string, cx double, cy double, rx double, ry double, angle double, "
+    f"radius double, path string, n_holes int, hole_paths array<string>, n_segments int, loops array<{LOOP}>"
 )
+_NUMBER = pa.float64()
+_SEGMENT = pa.struct([("kind", pa.string()), *[(n, _NUMBER) for n in NUMBERS], ("large_arc", pa.bool_()), ("sweep", pa.bool_())])
+_PRIMITIVE = pa.struct([("kind", pa.string()), *[(n, _NUMBER) for n in ("cx", "cy", "rx", "ry", "rot", "radius")]])
+_LOOP = pa.struct([("loop_id", pa.string()), ("polarity", pa.string()), ("source", pa.string()), ("confidence", _NUMBER), ("primitive", _PRIMITIVE), ("segments", pa.list_(_SEGMENT))])
+_FIELDS = [
+    ("value", pa.int32()), ("ordinal", pa.int32()), ("region", pa.string()), ("layer_id", pa.string()), ("z", pa.int32()), ("fill", pa.string()), ("area", _NUMBER), ("kind", pa.string()),
+    *[(n, _NUMBER) for n in ("cx", "cy", "rx", "ry", "angle", "radius")], ("path", pa.string()), ("n_holes", pa.int32()), ("hole_paths", pa.list_(pa.string())), ("n_segments", pa.int32()), ("loops", pa.list_(_LOOP)),
+]
+
+
+def _loop_row(loop: Any) -> dict:
+    segments = []
+    for x in loop.segments:
+        c1, c2 = x.c1 or (None, None), x.c2 or (None, None)
+        arc = x.kind in "AE"
+        values = (*x.start, *x.end, *c1, *c2, x.rx if arc else None, x.ry if arc else None, x.rotation if arc else None)
+        segments.append({"kind": x.kind, **dict(zip(NUMBERS, values, strict=True)), "large_arc": x.large if arc else None, "sweep": x.sweep if arc else None})
+    p = loop.primitive
+    primitive = p and {"kind": p.kind, "cx": p.cx, "cy": p.cy, "rx": p.rx, "ry": p.ry, "rot": p.rotation, "radius": p.radius}
+    return {"loop_id": loop.loop_id, "polarity": loop.polarity, "source": loop.source, "confidence": loop.confidence, "primitive": primitive, "segments": segments}
+
+
+def shape_row(shape: Any, area: float, kind: str) -> dict:
+    """The SHAPE columns of a typed shape."""
+    from rastrel.kernels import geometry
+
+    p = shape.outer.primitive
+    loops = [shape.outer, *shape.holes]
+    paths = [geometry.path_data(x.segments)[0] for x in loops]
+    place = dict.fromkeys(("cx", "cy", "rx", "ry", "angle", "radius")) if p is None else {"cx": p.cx, "cy": p.cy, "rx": p.rx, "ry": p.ry, "angle": p.rotation, "radius": p.radius}
+    return place | {
+        "region": shape.shape_id, "layer_id": shape.layer_id, "z": shape.z, "fill": shape.fill, "area": area, "kind": kind, "path": paths[0], "n_holes": len(shape.holes), "hole_paths": paths[1:],
+        "n_segments": sum(len(x.segments) for x in loops), "loops": [_loop_row(x) for x in loops],
+    }
+
+
+def _map(images: DataFrame, column: str, kernel: Callable[[np.ndarray], Iterable[dict]], key: str, channels: int = 1) -> DataFrame:
+    kind = images.schema[key].dataType.simpleString()
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{key: image} | row for image, plane in zip(batch.column(key).to_pylist(), planes(batch, column, channels), strict=True) for row in kernel(plane)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(key, batch.schema.field(key).type), *_FIELDS]))
 
-def shapes(rasters: DataFrame, primitive_first: bool = False, least_area: int = 32, least_hole: int = 16, key: str = KEY, by_value: bool = False) -> DataFrame:
-    """(key, value, ordinal, SHAPE) of rasters (key, width, height, data): one byte a cell, set where not zero; by_value: a mask for
-    each byte but zero. Images are independent rows, so nothing is shuffled; an image without shapes gives no row."""
+    return images.select(key, "width", "height", column).mapInArrow(run, f"`{key}` {kind}, {SHAPE}")
+
+
+def shapes(rasters: DataFrame, settings: Common | None = None, primitive_first: bool = False, key: str = KEY, by_value: bool = False) -> DataFrame:
+    """(key, SHAPE) of rasters (key, width, height, data): one byte a cell, set where not zero; by_value: a mask for each byte
+    but zero. The settings' type is the order of fitting. An image without shapes, an empty or a null one gives no row."""
     from rastrel.kernels import vectorize
 
-    kind = rasters.schema[key].dataType.simpleString()
-    names = [f.split()[0] for f in SHAPE.split(", ")]
+    s = vectorize.settings_of(primitive_first, settings)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for image, w, h, data in zip(*(batch.column(c).to_pylist() for c in (key, "width", "height", "data")), strict=True):
-                cells = np.frombuffer(data or b"", np.uint8)[: (w or 0) * (h or 0)].reshape(h or 0, w or 0)
-                for value in np.unique(cells[cells > 0]) if by_value else [1] if cells.any() else []:
-                    mask = cells == value if by_value else cells > 0
-                    found = vectorize.shapes(mask, primitive_first, least_area, least_hole)
-                    rows += [{key: image, "value": int(value), "ordinal": k} | {n: s.get(n) for n in names} for k, s in enumerate(found)]
-            types = {"area": pa.float64(), "n_holes": pa.int32(), "n_segments": pa.int32(), "hole_paths": pa.list_(pa.string()), **{n: pa.float64() for n in ("cx", "cy", "rx", "ry", "angle", "radius")}}
-            fields = [(key, batch.schema.field(key).type), ("value", pa.int32()), ("ordinal", pa.int32()), *[(n, types.get(n, pa.string())) for n in names]]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
-
-    return rasters.select(key, "width", "height", "data").mapInArrow(run, f"`{key}` {kind}, value int, ordinal int, {SHAPE}")
-
-
-def markups(found: DataFrame, fill: str | Column = "#000000", key: str = KEY, z: Column | None = None) -> DataFrame:
-    """(key, z, ordinal, markup): a primitive's tag for shapes without holes, else paths; holes are painted over."""
-    fill = fill if isinstance(fill, Column) else F.lit(fill)
-    z = F.lit(0) if z is None else z
+    def kernel(cells: np.ndarray) -> Iterator[dict]:
+        for value in np.unique(cells[cells > 0]) if by_value else [1] if cells.any() else []:
+            found = vectorize.shapes(cells == value if by_value else cells > 0, settings=s)
+            yield from ({"value": int(value), "ordinal": k} | shape_row(*x) for k, x in enumerate(found))
+
+    return _map(rasters, "data", kernel, key)
+
+
+def color_shapes(images: DataFrame, settings: ClassifyFirst | None = None, key: str = KEY) -> DataFrame:
+    """(key, SHAPE) of colour images (key, width, height, rgb): quantized to max_colors, near colours merged, the background
+    left out, and a layer for each other colour by descending count of pixels. value is a colour's place in the palette."""
+    from rastrel.kernels import color, vectorize
+
+    s = settings or ClassifyFirst()
+
+    def kernel(rgb: np.ndarray) -> Iterator[dict]:
+        if not rgb.size:
+            return
+        found = color.segment(rgb, None, s.max_colors, s.quantization_method, s.color_distance_threshold, s.merge_similar_colors, s.background_mode, s.background_color)
+        for layer in found.layers:
+            drawn = vectorize.shapes(layer.mask, settings=s, layer_id=layer.layer_id, z=layer.z, fill=layer.colour.hex)
+            yield from ({"value": layer.colour.ix, "ordinal": k} | shape_row(*x) for k, x in enumerate(drawn))
+
+    return _map(images, "rgb", kernel, key, 3)
+
+
+def markups(found: DataFrame, fill: str | Column | None = None, key: str = KEY) -> DataFrame:
+    """(key, z, ordinal, markup): a primitive's tag for shapes without holes, else paths; holes are painted over. Layers are
+    groups: their shapes stand between a g tag and its end."""
+    fill = F.coalesce("fill", F.lit("#000000")) if fill is None else fill if isinstance(fill, Column) else F.lit(fill)
     c = {n: F.coalesce(n, F.lit(0.0)) for n in ("cx", "cy", "rx", "ry", "angle", "radius")}
     path = lambda p, f: F.concat(F.lit('<path d="'), p, F.lit('" fill="'), documents.escape_attribute(f), F.lit('"/>'))
     tag = F.when(F.col("n_holes") == 0, documents.primitive_markup(F.col("kind"), c, fill))
     lines = F.concat(F.array(F.coalesce(tag, path(F.col("path"), fill))), F.transform("hole_paths", lambda p: path(p, F.lit(documents.HOLE_FILL))))
-    return found.select(key, z.alias("z"), F.concat_ws("-", F.format_string("%06d", "ordinal"), F.lit("")).alias("o"), F.posexplode(lines).alias("k", "markup")).select(
-        key, "z", F.concat("o", F.format_string("%06d", "k")).alias("ordinal"), "markup")
+    lines = F.concat(
+        F.when((F.col("ordinal") == 0) & F.col("layer_id").isNotNull(), F.array(F.concat(F.lit('<g id="'), documents.escape_attribute(F.col("layer_id")), F.lit('">')))).otherwise(F.array().cast("array<string>")), lines,
+    )
+    drawn = found.select(key, "z", F.format_string("%06d-", "ordinal").alias("o"), F.posexplode(lines).alias("k", "markup")).select(key, "z", F.concat("o", F.format_string("%06d", "k")).alias("ordinal"), "markup")
+    ends = found.where("ordinal = 0 and layer_id is not null").select(key, "z", F.lit("~").alias("ordinal"), F.lit("</g>").alias("markup"))
+    return drawn.unionByName(ends)
+
+
+def _svg(found: DataFrame, images: DataFrame, s: Common, key: str) -> DataFrame:
+    sizes = images.select(key, "width", "height", F.create_map().cast("map<string,string>").alias("metadata"))
+    return documents.export_svg(markups(found, None, key), sizes, key, s.background)
 
 
-def to_svg(rasters: DataFrame, primitive_first: bool = False, fill: str = "#000000", background: str | None = None, key: str = KEY, **limits: int) -> DataFrame:
+def to_svg(rasters: DataFrame, settings: Common | None = None, primitive_first: bool = False, key: str = KEY) -> DataFrame:
     """(key, svg) for every raster."""
-    found = shapes(rasters, primitive_first, key=key, **limits)
-    sizes = rasters.select(key, "width", "height", F.create_map().cast("map<string,string>").alias("metadata"))
-    return documents.export_svg(markups(found, fill, key), sizes, key, background)
-
-
-def color_svg(pixels: DataFrame, distance: float = 28.0, key: str = KEY, **limits: int) -> DataFrame:
-    """(key, svg) with a layer for each colour but the background, by descending pixel count, near colours merged.
-
-    pixels: (key, x, y, r, g, b) of at most 255 merged colours an image. An image all of whose cells are background
-    gets a document without shapes."""
-    from rastrel.operators import palette
-    from rastrel.operators.pixels import rasters
-
-    colours = palette.palette(pixels, key)
-    cluster = palette.merge_similar(colours, distance, key)
-    joined = colours.join(cluster, [key, "ix"])
-    mean = lambda x: F.bround(F.sum(F.col(x) * F.col("n")).cast("double") / F.sum("n")).cast("int").alias(x)
-    merged = joined.groupBy(key, "cluster").agg(mean("r"), mean("g"), mean("b"), F.sum("n").alias("n")).withColumnRenamed("cluster", "ix")
-    merged = merged.withColumn("hex", rgb_to_hex(F.col("r"), F.col("g"), F.col("b")))
-    named = pixels.join(joined.select(key, "r", "g", "b", F.col("cluster").alias("label")), [key, "r", "g", "b"]).select(key, "x", "y", "label")
-    ground = palette.background(named, key).select(key, "background")
-    layers = palette.layers(merged, ground, key)
-    cells = named.join(ground, key).withColumn("v", F.when(F.col("label").eqNullSafe(F.col("background")), 0).otherwise(F.col("label") + 1))
-    held = rasters(cells, key, "v")
-    found = shapes(held, key=key, by_value=True, **limits).withColumn("ix", F.col("value") - 1).join(layers, [key, "ix"])
-    sizes = held.select(key, "width", "height", F.create_map().cast("map<string,string>").alias("metadata"))
-    return documents.export_svg(markups(found, F.col("hex"), key, F.col("z")), sizes, key)
-
-
-def decode(images: DataFrame, key: str = KEY, threshold: int | None = None, invert: bool = False, blur: float = 0.9, target: int | None = None, bilateral: bool = True) -> DataFrame:
-    """(key, width, height, data) masks of rows of Spark's image source (key, image): alpha over white, grey, blur, Otsu.
+    from rastrel.kernels import vectorize
+
+    s = vectorize.settings_of(primitive_first, settings)
+    return _svg(shapes(rasters, s, key=key), rasters, s, key)
+
 
+def color_svg(images: DataFrame, settings: ClassifyFirst | None = None, key: str = KEY) -> DataFrame:
+    """(key, svg) with a layer for each colour but the background. An image all of whose cells are background gets a
+    document without shapes."""
+    s = settings or ClassifyFirst()
+    return _svg(color_shapes(images, s, key), images, s, key)
+
+
+def statistics(found: DataFrame, key: str = KEY) -> DataFrame:
+    """documents.document_stats() of SHAPE rows."""
+    return documents.document_stats(found.select(key, "n_holes", "n_segments", F.coalesce("layer_id", F.lit("")).alias("layer"), "fill"), key)
+
+
+def decode(images: DataFrame, settings: Common | None = None, key: str = KEY) -> DataFrame:
+    """(key, width, height, data, threshold, original_width, original_height, scale_x, scale_y, grey, rgb) of rows of Spark's
+    image source (key, image): alpha over white, resizing, grey, denoising, threshold and morphology by the settings.
+
+    data is the mask as bytes, grey the denoised plane, rgb the colours; scales lead back to the original's coordinates.
     Rows with fewer than 1, or with 2, channels are left out."""
-    from rastrel.kernels import raster
+    from rastrel.kernels import decode as kernels
 
+    s = settings or ClassifyFirst()
     kind = images.schema[key].dataType.simpleString()
     rows = images.select(key, F.col("image.width").alias("w"), F.col("image.height").alias("h"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("d")).where("n in (1, 3, 4)")
-
-    def mask(w: int, h: int, n: int, data: bytes) -> np.ndarray:
-        bgr = np.frombuffer(data, np.uint8).reshape(h, w, n).astype(np.int64)
-        alpha = bgr[..., 3] if n == 4 else np.full((h, w), 255)
-        flat = [bgr[..., min(k, n - 1)] * alpha + 255 * (255 - alpha) + 128 for k in range(3)]
-        b, g, r = ((f + (f >> 8)) >> 8 for f in flat)
-        grey = ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.uint8)
-        if target:
-            grey = raster.resize_longest(grey, target)
-        if bilateral:
-            grey = raster.bilateral(grey)
-        return raster.foreground(raster.gaussian(grey, blur), threshold, invert)
+    whole, real, plane = pa.int32(), pa.float64(), pa.binary()
+    schema = {"width": whole, "height": whole, "data": plane, "threshold": whole, "original_width": whole, "original_height": whole, "scale_x": real, "scale_y": real, "grey": plane, "rgb": plane}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            masks = [mask(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("w", "h", "n", "d")), strict=True)]
-            yield pa.RecordBatch.from_pydict({
-                key: batch.column(key), "width": pa.array([m.shape[1] for m in masks], pa.int32()), "height": pa.array([m.shape[0] for m in masks], pa.int32()),
-                "data": pa.array([m.astype(np.uint8).tobytes() for m in masks], pa.binary()),
-            })
-
-    return rows.mapInArrow(run, f"`{key}` {kind}, width int, height int, data binary")
+            found = [kernels.preprocess(kernels.from_bgr(*row), s).row() for row in zip(*(batch.column(c).to_pylist() for c in ("w", "h", "n", "d")), strict=True)]
+            yield pa.RecordBatch.from_pydict({key: batch.column(key)} | {n: pa.array([r[n] for r in found], t) for n, t in schema.items()})
+
+    names = {whole: "int", real: "double", plane: "binary"}
+    return rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} {names[t]}" for n, t in schema.items()))
+
+
+def vectorize_images(images: DataFrame, settings: Common | None = None, key: str = KEY) -> DataFrame:
+    """(key, svg) from rows of Spark's image source: the mode in the settings decides. `color` and `auto` draw colour layers
+    and fall back to one colour where no layer has a shape; `monochrome` and the primitive-first order draw the mask."""
+    s = settings or ClassifyFirst()
+    planes_ = decode(images, s, key)
+    if isinstance(s, PrimitiveFirst) or s.vectorization_mode == "monochrome":
+        return to_svg(planes_, s, key=key)
+    found = color_shapes(planes_, s, key)
+    plain = planes_.join(found.select(key).distinct(), key, "left_anti")
+    return _svg(found.unionByName(shapes(plain, s, key=key)), planes_, s, key)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.functions.scalars import format_number
-from rastrel.operators import palette, pixels
+from rastrel.operators import documents, images, palette, pixels
 from rastrel.sources.procedural import PIXELS_SQL, SIDE
+from rastrel.sources.procedural import images as grey_images
 from rastrel.sources.procedural import pixels as raster
 
 
@@ -15,17 +15,30 @@ def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.mask(raster(spark, sf_dir))
 
 
+#: Share of its bounding box that a disc fills, and how far a raster's disc may be from it.
+DISC_SHARE, DISC_SLACK = 0.7853981633974483, 0.06
+
+
+def _measured(held: DataFrame) -> DataFrame:
+    """The columns of _cells() from masks by image."""
+    return images.measures(held).where("n > 0").select("image_id", "n", "sum_x", "sum_y", "sum_xy")
+
+
 def _cells(cells: DataFrame) -> DataFrame:
     """Set cells by image with sums that tell where they lie."""
     return cells.where("m").groupBy("image_id").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.sum(F.col("x") * F.col("y")).alias("sum_xy"))
 
 
 def svg_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discs among the rasters from pixels to markup; opening the mask takes specks away."""
-    discs = raster(spark, sf_dir).where(F.col("image_id") % 5 == 0)
-    found = pixels.moments(pixels.binary_open(pixels.mask(discs)))
+    """Discs among all rasters from grey to markup: opening the mask takes specks away, and what is as wide as high and
+    fills its box as a circle does is a disc."""
+    c = F.col
+    found = images.moments(images.masks(grey_images(spark, sf_dir), steps="o"))
+    wide, high = (c(f"max_{a}") - c(f"min_{a}") + 1 for a in "xy")
+    found = found.where((F.abs(wide - high) <= 1) & (F.abs(c("area") / (wide * high) - F.lit(DISC_SHARE)) <= DISC_SLACK))
     r = (F.col("max_x") - F.col("min_x") + F.col("max_y") - F.col("min_y") + 2) / 4
-    markup = F.concat(F.lit('<circle cx="'), format_number(F.col("cx")), F.lit('" cy="'), format_number(F.col("cy")), F.lit('" r="'), format_number(r), F.lit('" fill="#000000"/>'))
+    none = F.lit(0.0)
+    markup = documents.primitive_markup(F.lit("circle"), {"cx": c("cx"), "cy": c("cy"), "rx": r, "ry": r, "angle": none, "radius": none}, F.lit("#000000"))
     return found.select("image_id", "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round(r, 6).alias("r"), markup.alias("markup"))
 
 
@@ -46,11 +59,16 @@ def binary_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def binary_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(pixels.binary_open(_mask(spark, sf_dir)))
+    return _measured(images.masks(grey_images(spark, sf_dir), steps="o"))
 
 
 def binary_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(pixels.binary_close(_mask(spark, sf_dir)))
+    return _measured(images.masks(grey_images(spark, sf_dir), steps="c"))
+
+
+def pixel_open_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening, then closing of a table of pixels."""
+    return _cells(pixels.binary_close(pixels.binary_open(_mask(spark, sf_dir))))
 
 
 def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +93,10 @@ def background_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def membership_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = raster(spark, sf_dir)
-    colours = palette.palette(cells)
-    found = palette.membership(palette.labels(cells, colours), colours, 0)
-    return found.groupBy("image_id", "label").agg(F.count("*").alias("n"), F.round(F.avg("member"), 6).alias("member"))
+    """Pixels and their membership in the first colour, by label: a label's pixels are its palette row's."""
+    colours = palette.palette(raster(spark, sf_dir))
+    found = palette.colour_membership(colours, 0).join(colours.select("image_id", "ix", "n"), ["image_id", "ix"])
+    return found.select("image_id", F.col("ix").alias("label"), "n", F.round("member", 6).alias("member"))
 
 
 def color_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +115,7 @@ def composite_and_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        svg_discs, otsu_threshold, foreground_mask_counts, binary_erode, binary_dilate, binary_open, binary_close, mask_iou,
+        svg_discs, otsu_threshold, foreground_mask_counts, binary_erode, binary_dilate, binary_open, binary_close, pixel_open_close, mask_iou,
         palette_counts, palette_merge, background_detect, membership_field, color_layers, composite_and_luma,
     )
 }
@@ -130,7 +148,8 @@ bg AS (SELECT image_id, CASE WHEN CAST(max(v) AS DOUBLE) / sum(v) >= 0.35 THEN a
 
 SQL = {
     "svg_discs": f"""WITH {_MASK}, {_near('m0', 'm1', True)}, {_near('m1', 'm2', False)},
-mo AS (SELECT image_id, count(*) AS area, sum(x) / count(*) + 0.5 AS cx, sum(y) / count(*) + 0.5 AS cy, (max(x) - min(x) + max(y) - min(y) + 2) / 4.0 AS r FROM m2 WHERE m AND image_id % 5 = 0 GROUP BY 1),
+mo AS (SELECT image_id, count(*) AS area, sum(x) / count(*) + 0.5 AS cx, sum(y) / count(*) + 0.5 AS cy, (max(x) - min(x) + max(y) - min(y) + 2) / 4.0 AS r FROM m2 WHERE m GROUP BY 1
+  HAVING abs(max(x) - min(x) - max(y) + min(y)) <= 1 AND abs(count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)) - {DISC_SHARE}) <= {DISC_SLACK}),
 tx AS (SELECT *, regexp_replace(regexp_replace(printf('%.2f', cx), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS tx, regexp_replace(regexp_replace(printf('%.2f', cy), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS ty, regexp_replace(regexp_replace(printf('%.2f', r), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS tr FROM mo)
 SELECT image_id, area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(CAST(r AS DOUBLE), 6) AS r, '<circle cx="' || tx || '" cy="' || ty || '" r="' || tr || '" fill="#000000"/>' AS markup FROM tx""",
     "otsu_threshold": f"WITH {PIXELS_SQL}, {_OTSU} SELECT * FROM ot",
@@ -139,6 +158,7 @@ SELECT image_id, area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(CAST(r AS D
     "binary_dilate": f"WITH {_MASK}, {_near('m0', 'm1', False)} {_counted('m1')}",
     "binary_open": f"WITH {_MASK}, {_near('m0', 'm1', True)}, {_near('m1', 'm2', False)} {_counted('m2')}",
     "binary_close": f"WITH {_MASK}, {_near('m0', 'm1', False)}, {_near('m1', 'm2', True)} {_counted('m2')}",
+    "pixel_open_close": f"WITH {_MASK}, {_near('m0', 'm1', True)}, {_near('m1', 'm2', False)}, {_near('m2', 'm3', False)}, {_near('m3', 'm4', True)} {_counted('m4')}",
     "mask_iou": """SELECT part, round(coalesce(CAST(both_ AS DOUBLE) / nullif(any_, 0), 1.0), 6) AS iou FROM (
 SELECT doc_id % 7 AS part, count(*) FILTER (quality = 1 AND toxic = 1) AS both_, count(*) FILTER (quality = 1 OR toxic = 1) AS any_ FROM labels GROUP BY 1)""",
     "palette_counts": f"WITH {_PALETTE} SELECT * FROM pal",

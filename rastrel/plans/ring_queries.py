@@ -75,7 +75,7 @@ def fit_circle_lsq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def narrow_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rings.narrow_gaps(event_rings(spark, sf_dir), 4.0).groupBy("ring_id").agg(F.count("*").alias("protected"), F.sum("i").alias("sum_i"))
+    return rings.narrow_gaps(event_rings(spark, sf_dir), 6.0).groupBy("ring_id").agg(F.count("*").alias("protected"), F.sum("i").alias("sum_i"))
 
 
 def gap_island_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,7 @@ sm AS (SELECT ring_id, any_value(mx) AS mx, any_value(my) AS my, count(*) AS n,
 so AS (SELECT *, (p * vv - q * uv) / (uu * vv - uv * uv) AS a, (q * uu - p * uv) / (uu * vv - uv * uv) AS b FROM sm)
 SELECT ring_id, round(mx + a, 6) AS cx, round(my + b, 6) AS cy, round(sqrt(a * a + b * b + (uu + vv) / n), 6) AS r FROM so""",
     "narrow_gap": f"""WITH {RINGS_SQL}, pr AS (SELECT DISTINCT a.ring_id, a.i, a.n FROM ring a JOIN ring b ON a.ring_id = b.ring_id
-  AND least(abs(a.i - b.i), a.n - abs(a.i - b.i)) >= 3 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 4),
+  AND least(abs(a.i - b.i), a.n - abs(a.i - b.i)) >= 3 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 6),
 sp AS (SELECT DISTINCT ring_id, (i + d + n) % n AS i FROM pr, range(-2, 3) t(d))
 SELECT ring_id, count(*) AS protected, CAST(sum(i) AS BIGINT) AS sum_i FROM sp GROUP BY 1""",
     "gap_island_spans": f"""WITH {_ANGLES}, rn AS (SELECT ring_id, i, sum(CAST(angle <= 120 AS INT)) OVER (PARTITION BY ring_id ORDER BY i) AS run, sum(CAST(angle <= 120 AS INT)) OVER (PARTITION BY ring_id) AS total FROM an)

@@ -29,6 +29,11 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str | None =
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """All rows as JSON values, with fields that are null and letters beyond ASCII as they are."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One object a line; blank and malformed lines are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -4,6 +4,8 @@ Pixels come from integer arithmetic alone, so that any engine makes the same one
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +27,53 @@ def _inside(kind: Column, size: Column, u: Column, v: Column) -> Column:
     )
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, size, brand) dealt out before each row becomes a raster: a part is narrow, so that shuffle is small."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.col("p_partkey").cast("long").alias("image_id"), F.col("p_size").cast("int").alias("size"), F.col("p_brand").alias("brand")
+    )
+    return part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height int, grey, rgb binary): the rasters of pixels(), a row each."""
+    y, x = (a.ravel() for a in np.mgrid[:SIDE, :SIDE])
+    u, v = 2 * x - (SIDE - 1), 2 * y - (SIDE - 1)
+    square, ground = u * u + v * v, 200 + (7 * x + 13 * y) % 40
+    ground[0] = 110
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                n = batch.num_rows
+                ids, size = batch.column("image_id").to_numpy(), batch.column("size").to_numpy().astype(np.int64)
+                digit = np.array([int(b[6]) for b in batch.column("brand").to_pylist()])
+                reach = 2 * (size % 9 + 6)[:, None]
+                two = ((u + 15) ** 2 + v * v <= 100) | ((u - 15) ** 2 + v * v <= ((size % 8) ** 2)[:, None])
+                kinds = (
+                    square <= reach**2, (np.abs(u) <= reach) & (np.abs(v) <= reach), (square <= reach**2) & (4 * square > reach**2),
+                    (v >= -reach) & (v <= reach) & (2 * np.abs(u) <= v + reach), two,
+                )
+                inside = np.choose((ids % 5)[:, None], kinds)
+                grey = np.where(inside, (40 + size)[:, None], ground)
+                rgb = np.full((n, SIDE * SIDE, 3), 240)
+                for k, tone in enumerate((25 * digit[:, None] + np.where(y < SIDE // 2, 6, 0), (30 * (size % 6))[:, None], 90)):
+                    rgb[..., k] = np.where(inside, tone, 240)
+                yield pa.RecordBatch.from_pydict({
+                    "image_id": batch.column("image_id"), "width": pa.array(np.full(n, SIDE, np.int32)), "height": pa.array(np.full(n, SIDE, np.int32)),
+                    "grey": pa.array([r.tobytes() for r in grey.astype(np.uint8)], pa.binary()), "rgb": pa.array([r.tobytes() for r in rgb.astype(np.uint8)], pa.binary()),
+                })
+
+    return _parts(spark, sf_dir).mapInArrow(run, "image_id long, width int, height int, grey binary, rgb binary")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, x, y, r, g, b, a, grey int) for every part: a dark shape on a light ground, and one cell of middle
     grey, so that a threshold lies between both.
 
-    The raster is generated row by row from the part, so nothing is joined or shuffled."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
-        F.col("p_partkey").cast("long").alias("image_id"), F.col("p_size").cast("int").alias("size"), F.col("p_brand").alias("brand")
-    )
+    The raster is generated row by row from the part, so no pixel is joined or shuffled."""
+    part = _parts(spark, sf_dir)
     axis = F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1)))
     grid = part.select("*", axis.alias("y")).select("*", axis.alias("x"))
     u, v = 2 * F.col("x") - (SIDE - 1), 2 * F.col("y") - (SIDE - 1)

@@ -5,53 +5,69 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rastrel.config import ClassifyFirst, Common, PrimitiveFirst
+
+if TYPE_CHECKING:
+    from rastrel.kernels.geometry import Document
+
 JOB = (
     "job_id string, image_name string, input_path string, ok boolean, status string, message string, error string, pipeline string, "
     "started_at timestamp, finished_at timestamp, duration_ms double, image_sha1_short string, svg_sha1_short string, svg_char_length long, svg_content string"
 )
 
 
-def _mask(data: bytes, invert: bool) -> np.ndarray:
-    from rastrel.kernels import png, raster
+def document_of(data: bytes | None, settings: Common) -> Document:
+    """The vector document of one image file's bytes; ValueError where they are no image.
+
+    Colour modes draw a layer for each colour, and the mask where no layer has a shape. The classify-first order draws in
+    the original's coordinates, the primitive-first one in those of the resized image."""
+    from rastrel.kernels import color, decode, document, image_files, vectorize
+
+    planes = decode.preprocess(image_files.decode(data), settings)
+    first = isinstance(settings, PrimitiveFirst)
+    scale, size = ((1.0, 1.0), planes.working) if first else (planes.scale, planes.original)
+    found: list = []
+    if isinstance(settings, ClassifyFirst) and settings.vectorization_mode != "monochrome":
+        s = settings
+        parts = color.segment(planes.rgb, planes.alpha > 0, s.max_colors, s.quantization_method, s.color_distance_threshold, s.merge_similar_colors, s.background_mode, s.background_color)
+        for layer in parts.layers:
+            found += vectorize.shapes(layer.mask, settings=s, scale=scale, layer_id=layer.layer_id, z=layer.z, fill=layer.colour.hex)
+    if not found and planes.mask.any():
+        found = vectorize.shapes(planes.mask, settings=settings, scale=scale)
+    return document.assemble(*size, [shape for shape, _, _ in found])
 
-    rgba = png.decode(data).astype(np.int64)
-    alpha = rgba[..., 3]
-    flat = rgba[..., :3] * alpha[..., None] + 255 * (255 - alpha[..., None]) + 128
-    flat = (flat + (flat >> 8)) >> 8
-    grey = ((flat * np.array([19595, 38470, 7471])).sum(-1) + 0x8000 >> 16).astype(np.uint8)
-    mask = raster.foreground(raster.gaussian(grey, 0.9), None, invert)
-    return mask | (alpha > 127) if alpha.max() > 0 and alpha.min() < 0.999 * 255 else mask
 
+def draw(data: bytes | None, settings: Common) -> tuple[str, int]:
+    """(SVG text, number of shapes) of one image file's bytes."""
+    from rastrel.kernels import document
 
-def run_jobs(files: DataFrame, primitive_first: bool = False, invert: bool = False) -> DataFrame:
+    found = document_of(data, settings)
+    return document.export(found, settings.background), len(found.shapes)
+
+
+def run_jobs(files: DataFrame, settings: Common | None = None, primitive_first: bool = False) -> DataFrame:
     """JOB rows for files (path, content): every file is a job of its own, and one that can't be decoded fails alone.
 
     A job's id is the name with a hash of the content, so a file that comes again makes the same id."""
     names = [f.split()[0] for f in JOB.split(", ")]
-    label = "primitive-first" if primitive_first else "classify-first"
+    chosen = settings or (PrimitiveFirst() if primitive_first else ClassifyFirst())
+    label = "primitive-first" if isinstance(chosen, PrimitiveFirst) else "classify-first"
 
     def job(path: str, data: bytes | None) -> dict:
-        from rastrel.kernels import vectorize
-
         started, clock = time.time(), time.perf_counter()
         name = path.rsplit("/", 1)[-1]
         sha = hashlib.sha1(data or b"").hexdigest()[:12]
         out = dict.fromkeys(names) | {"job_id": f"{name}-{sha}", "image_name": name, "input_path": path, "pipeline": label, "image_sha1_short": sha}
         try:
-            mask = _mask(data, invert)
-            paths = []
-            for s in vectorize.shapes(mask, primitive_first) if mask.any() else []:
-                paths += [f'<path d="{s["path"]}" fill="#000000"/>', *[f'<path d="{p}" fill="#F2F2F2"/>' for p in s["hole_paths"]]]
-            h, w = mask.shape
-            svg = "\n".join([f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" viewBox="0 0 {w} {h}">', *paths, "</svg>"])
-            out |= {"ok": True, "status": "completed", "message": f"{len(paths)} paths", "svg_content": svg, "svg_char_length": len(svg), "svg_sha1_short": hashlib.sha1(svg.encode()).hexdigest()[:12]}
+            svg, n = draw(data, chosen)
+            out |= {"ok": True, "status": "completed", "message": f"{n} shapes", "svg_content": svg, "svg_char_length": len(svg), "svg_sha1_short": hashlib.sha1(svg.encode()).hexdigest()[:12]}
         except ValueError as e:
             out |= {"ok": False, "status": "failed", "message": "not vectorized", "error": str(e)}
         spent = time.perf_counter() - clock
@@ -67,15 +83,15 @@ def run_jobs(files: DataFrame, primitive_first: bool = False, invert: bool = Fal
     return files.select("path", "content").mapInArrow(run, JOB)
 
 
-def start(spark: SparkSession, uploads: str, table: str, checkpoint: str, primitive_first: bool = False, at_once: int = 100, once: bool = False) -> StreamingQuery:
-    """Watch a folder of PNG uploads and append a job for each to the Parquet table.
+def start(spark: SparkSession, uploads: str, table: str, checkpoint: str, settings: Common | None = None, at_once: int = 100, once: bool = False) -> StreamingQuery:
+    """Watch a folder of uploaded images and append a job for each to the Parquet table.
 
     The file source lists every file once, and none of zero length. A batch that runs again after a failure writes to its own folder of the
     table, over what it had written, so no job is there twice."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", at_once).load(uploads)
 
     def write(batch: DataFrame, number: int) -> None:
-        run_jobs(batch, primitive_first).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        run_jobs(batch, settings).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from rastrel.kernels import curves, png, raster, ring, vectorize
+from rastrel.kernels import curves, geometry, png, raster, ring, topology, vectorize
 
 
 def disc(n=64, r=20.0, hole=0.0):
@@ -97,13 +97,13 @@ def test_numbers():
 @pytest.mark.parametrize(("mask", "kind"), [(disc(96, 40), "circle"), (disc(96, 40) & (np.abs(np.mgrid[:96, :96][0] - 48) < 18), None)])
 def test_classes(mask, kind):
     found = vectorize.shapes(mask)
-    assert len(found) == 1 and found[0]["n_holes"] == 0 and (kind is None or found[0]["kind"] == kind)
+    assert len(found) == 1 and not found[0][0].holes and (kind is None or found[0][2] == kind)
 
 
 def test_gate():
     square = np.array([[0, 0], [10, 0], [10, 10], [0, 10.0]])
     assert ring.passes_gate(square, square) and not ring.passes_gate(square * 0.9, square) and ring.passes_gate(square * 0.93, square, hole=True)
-    assert ring.crosses_itself(square[[0, 2, 1, 3]]) and not ring.passes_gate(square[:2], square)
+    assert topology.self_intersects(square[[0, 2, 1, 3]]) and not ring.passes_gate(square[:2], square)
 
 
 def test_png_round_trip():
@@ -135,14 +135,16 @@ def test_runs_around_a_ring():
 
 
 def test_half_ellipse_at_the_bottom():
-    from rastrel.kernels import decompose
+    from rastrel.config import PrimitiveFirst
+    from rastrel.kernels import decompose, primitive_first
 
     t = np.linspace(0, math.pi, 80)
     p = np.vstack([np.stack([50 + 40 * np.cos(t), 40 + 20 * np.sin(t)], 1), np.stack([np.linspace(10, 90, 60)[1:-1], np.full(58, 10.0)], 1)])
     found = decompose.bottom_ellipse(p, band=0.6)
     assert found and abs(found["rx"] - 40) < 1 and abs(found["ry"] - 20) < 1
-    loop = decompose.loop(p)
-    assert ring.passes_gate(curves.sample(loop), p) and len(loop) < 40
+    plan = primitive_first.decompose_contour(geometry.contour("c", p), PrimitiveFirst())
+    loop = primitive_first.freeform(plan, PrimitiveFirst())
+    assert plan.subshape and [x.kind for x in loop].count("E") == 1 and topology.validate_points(geometry.sample_loop(loop), p) and len(loop) < 40
 
 
 def test_fillet_touches_both_edges():
