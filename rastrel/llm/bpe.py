@@ -122,47 +122,48 @@ class PrefixEncoder:
         self.vocabulary, self.text, self.last = vocabulary, b"", []
         self.append(text)
 
-    def _entry(self, text: bytes, end: int) -> int:
-        """The last token of text[:end], from the entries of shorter prefixes: O(1) of them for each byte."""
-        node, last, joined = self.vocabulary.endings, self.last, self.vocabulary.joined
-        start, found = end, []
-        while start:
-            node = node.get(text[start - 1])
-            if node is None:
-                break
-            start -= 1
-            if END in node:
-                found.append((start, node[END]))
-        for start, token in reversed(found):
-            if not start or joined(last[start - 1], token):
-                return token
-        raise ValueError(f"no token ends at byte {end}")
+    def _grow(self, text: bytes, tail: list[int], moved: int) -> int:
+        """Entries of all prefixes of text longer than those that have one, O(1) for each byte; how many were made.
+
+        tail: entries that stood behind an edit, those of prefixes longer than `moved`. Entries depend on those of at most the
+        longest token's bytes before, so as soon as that many in a row are as in tail, all the rest is."""
+        begin, last = len(self.last), self.last
+        root, joined, longest = self.vocabulary.endings, self.vocabulary.joined, self.vocabulary.longest
+        same = 0
+        for end in range(begin + 1, len(text) + 1):
+            node, start, found = root, end, []
+            while start:
+                node = node.get(text[start - 1])
+                if node is None:
+                    break
+                start -= 1
+                if END in node:
+                    found.append((start, node[END]))
+            for start, token in reversed(found):
+                if not start or joined(last[start - 1], token):
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"no token ends at byte {end}")
+            if end > moved and tail:
+                same = same + 1 if tail[end - moved - 1] == token else 0
+                if same >= longest:
+                    last += tail[end - moved :]
+                    return end - begin
+        return len(text) - begin
 
     def append(self, more: bytes) -> None:
-        """Extend the text: one entry for each new byte."""
-        text = self.text + more
-        for end in range(len(self.text) + 1, len(text) + 1):
-            self.last.append(self._entry(text, end))
-        self.text = text
+        """Extend the text."""
+        self.text += more
+        self._grow(self.text, [], len(self.text))
 
     def edit(self, at: int, removed: int, added: bytes) -> int:
-        """Replace `removed` bytes at `at`; how many entries were made anew.
-
-        Entries of the bytes before stay. Behind the edit, entries depend on those of at most the longest token's bytes
-        before, so as soon as that many in a row are as they were, all the rest is."""
+        """Replace `removed` bytes at `at`; how many entries were made anew: entries of the bytes before stay, and those behind
+        from where the encoding is as it was."""
         tail = self.last[at + removed :]
         self.text = self.text[:at] + added + self.text[at + removed :]
         del self.last[at:]
-        same = 0
-        for end in range(at + 1, len(self.text) + 1):
-            token = self._entry(self.text, end)
-            self.last.append(token)
-            k = end - at - len(added) - 1
-            same = same + 1 if k >= 0 and tail[k] == token else 0
-            if same >= self.vocabulary.longest:
-                self.last += tail[k + 1 :]
-                return end - at
-        return len(self.text) - at
+        return self._grow(self.text, tail, at + len(added))
 
     def ids(self) -> list[int]:
         out, end = [], len(self.text)
