@@ -50,7 +50,7 @@ def test_uploads(spark, tmp_path):
         jobs.start(spark, str(uploads), table, str(tmp_path / "state"), once=True).awaitTermination(60)
     got = {r.image_name: r for r in jobs.latest(spark, table).collect()}
     assert spark.read.parquet(table).count() == 2
-    assert got["disc.png"].ok and got["disc.png"].svg_content.count("<path") == 1 and got["disc.png"].svg_char_length == len(got["disc.png"].svg_content)
+    assert got["disc.png"].ok and got["disc.png"].svg_content.count("<circle ") == 1 and got["disc.png"].svg_char_length == len(got["disc.png"].svg_content)
     assert not got["bad.png"].ok and got["bad.png"].error == "not a PNG file"
     none = jobs.run_jobs(spark.createDataFrame([("/up/none.png", None)], "path string, content binary")).collect()
     assert [(r.image_name, r.ok, r.error) for r in none] == [("none.png", False, "empty image")]
