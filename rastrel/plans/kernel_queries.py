@@ -178,10 +178,10 @@ QUERIES = {
 def _components(reach: int) -> str:
     """CTEs of the components of set cells (8-connected with reach 1, else 4-connected) and of the 4-connected unset ones,
     with a margin around each image: rn has runs of a row by value v, lb the least run of each run's component."""
-    return f"""{pixel_queries._MASK}, pd AS (SELECT i.image_id, CAST(gx.x AS INTEGER) AS x, CAST(gy.y AS INTEGER) AS y, coalesce(m, FALSE) AS v FROM (SELECT DISTINCT image_id FROM m0) i, range(-1, {SIDE + 1}) gx(x), range(-1, {SIDE + 1}) gy(y)
+    return f"""{pixel_queries._MASK.replace('m0 AS (', 'm0 AS MATERIALIZED (', 1)}, pd AS MATERIALIZED (SELECT i.image_id, CAST(gx.x AS INTEGER) AS x, CAST(gy.y AS INTEGER) AS y, coalesce(m, FALSE) AS v FROM (SELECT DISTINCT image_id FROM m0) i, range(-1, {SIDE + 1}) gx(x), range(-1, {SIDE + 1}) gy(y)
   LEFT JOIN m0 ON m0.image_id = i.image_id AND m0.x = gx.x AND m0.y = gy.y),
-rn AS (SELECT image_id, v, y, min(x) AS x0, max(x) AS x1, (y + 1) * 64 + min(x) + 1 AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y, v ORDER BY x) AS g FROM pd) GROUP BY image_id, v, y, g),
-ed AS (SELECT a.image_id, a.v, a.id, b.id AS oid FROM rn a JOIN rn b ON a.image_id = b.image_id AND a.v = b.v AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + CASE WHEN a.v THEN {reach} ELSE 0 END AND b.x0 <= a.x1 + CASE WHEN a.v THEN {reach} ELSE 0 END),
+rn AS MATERIALIZED (SELECT image_id, v, y, min(x) AS x0, max(x) AS x1, (y + 1) * 64 + min(x) + 1 AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y, v ORDER BY x) AS g FROM pd) GROUP BY image_id, v, y, g),
+ed AS MATERIALIZED (SELECT a.image_id, a.v, a.id, b.id AS oid FROM rn a JOIN rn b ON a.image_id = b.image_id AND a.v = b.v AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + CASE WHEN a.v THEN {reach} ELSE 0 END AND b.x0 <= a.x1 + CASE WHEN a.v THEN {reach} ELSE 0 END),
 lb(image_id, v, id, l) USING KEY (image_id, v, id) AS (SELECT image_id, v, id, id FROM rn UNION
   SELECT e.image_id, e.v, e.id, min(w.l) FROM lb w JOIN ed e ON e.image_id = w.image_id AND e.v = w.v AND e.oid = w.id JOIN recurring.lb a ON a.image_id = e.image_id AND a.v = e.v AND a.id = e.id WHERE w.l < a.l GROUP BY ALL),
 cl AS (SELECT image_id, x, y, v, l FROM pd JOIN rn USING (image_id, v, y) JOIN lb USING (image_id, v, id) WHERE x BETWEEN x0 AND x1),
@@ -191,9 +191,9 @@ cs AS (SELECT image_id, v, l, count(*) AS n, min((y + 1) * 64 + x + 1) AS first
 def _simplified(tolerance: float) -> str:
     """CTEs of Douglas-Peucker on closed rings: kp has the places that stay. Spans are split at their farthest points."""
     off = "sqrt(pow(p.x - a.x - t * (b.x - a.x), 2) + pow(p.y - a.y - t * (b.y - a.y), 2))"
-    return f"""{RINGS_SQL}, un AS (SELECT ring_id, i, n, x, y FROM ring UNION ALL SELECT ring_id, i + n, n, x, y FROM ring),
+    return f"""{RINGS_SQL.replace('ring AS (', 'ring AS MATERIALIZED (', 1)}, un AS MATERIALIZED (SELECT ring_id, i, n, x, y FROM ring UNION ALL SELECT ring_id, i + n, n, x, y FROM ring),
 m1 AS (SELECT ring_id, arg_min(i, (x, y)) AS a FROM ring GROUP BY 1),
-m2 AS (SELECT r.ring_id, any_value(a) AS a, any_value(n) AS n, arg_max(r.i, (sqrt(pow(r.x - f.x, 2) + pow(r.y - f.y, 2)), -r.i)) AS b FROM ring r JOIN m1 USING (ring_id) JOIN (SELECT ring_id, i, x, y FROM ring) f ON f.ring_id = r.ring_id AND f.i = a GROUP BY 1),
+m2 AS MATERIALIZED (SELECT r.ring_id, any_value(a) AS a, any_value(n) AS n, arg_max(r.i, (sqrt(pow(r.x - f.x, 2) + pow(r.y - f.y, 2)), -r.i)) AS b FROM ring r JOIN m1 USING (ring_id) JOIN (SELECT ring_id, i, x, y FROM ring) f ON f.ring_id = r.ring_id AND f.i = a GROUP BY 1),
 sp(ring_id, a, b) AS (SELECT ring_id, least(a, b), greatest(a, b) FROM m2 UNION ALL SELECT ring_id, greatest(a, b), least(a, b) + n FROM m2
   UNION ALL SELECT ring_id, CASE WHEN h = 0 THEN a ELSE k END, CASE WHEN h = 0 THEN k ELSE b END FROM (
     SELECT ring_id, a, b, arg_max(i, (d, -i)) AS k, max(d) AS d FROM (
@@ -201,7 +201,7 @@ sp(ring_id, a, b) AS (SELECT ring_id, least(a, b), greatest(a, b) FROM m2 UNION
       JOIN un p ON p.ring_id = s.ring_id AND p.i > s.a AND p.i < s.b,
       LATERAL (SELECT CASE WHEN pow(b.x - a.x, 2) + pow(b.y - a.y, 2) > 1e-12 THEN greatest(0, least(1, ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) / (pow(b.x - a.x, 2) + pow(b.y - a.y, 2)))) ELSE 0 END AS t) q)
     GROUP BY ALL HAVING max(d) > {tolerance}), (VALUES (0), (1)) v(h)),
-kp AS (SELECT DISTINCT sp.ring_id, sp.a % n AS i, n FROM sp JOIN m2 USING (ring_id))"""
+kp AS MATERIALIZED (SELECT DISTINCT sp.ring_id, sp.a % n AS i, n FROM sp JOIN m2 USING (ring_id))"""
 
 
 #: Hull vertices: points from which all others are seen within half a turn. hl has them in order around the middle.
@@ -235,8 +235,10 @@ ok AS (SELECT al.ring_id, cx, cy, r FROM al JOIN hv USING (ring_id) GROUP BY ALL
 SELECT ring_id, round(arg_min(cx, r), 6) AS cx, round(arg_min(cy, r), 6) AS cy, round(min(r), 6) AS r FROM ok GROUP BY 1""",
     "douglas_peucker": f"WITH RECURSIVE {_simplified(2.0)} SELECT ring_id, n AS points, count(*) AS kept FROM (SELECT ring_id, CAST(n AS BIGINT) AS n FROM kp) GROUP BY ALL",
     "straight_runs": f"""WITH RECURSIVE {_simplified(2.0)}, nx AS (SELECT ring_id, i AS a, n, coalesce(lead(i) OVER w, min(i) OVER v + n) AS b FROM kp WINDOW w AS (PARTITION BY ring_id ORDER BY i), v AS (PARTITION BY ring_id)),
-dv AS (SELECT s.ring_id, s.a, s.b, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS len, sqrt(pow(p.x - a.x - t * (b.x - a.x), 2) + pow(p.y - a.y - t * (b.y - a.y), 2)) AS d FROM nx s JOIN un a ON a.ring_id = s.ring_id AND a.i = s.a JOIN un b ON b.ring_id = s.ring_id AND b.i = s.b
-  JOIN un p ON p.ring_id = s.ring_id AND p.i BETWEEN s.a AND s.b, LATERAL (SELECT CASE WHEN pow(b.x - a.x, 2) + pow(b.y - a.y, 2) > 1e-12 THEN greatest(0, least(1, ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) / (pow(b.x - a.x, 2) + pow(b.y - a.y, 2)))) ELSE 0 END AS t) q),
+sg AS MATERIALIZED (SELECT s.ring_id, s.a, s.b, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM nx s JOIN un a ON a.ring_id = s.ring_id AND a.i = s.a JOIN un b ON b.ring_id = s.ring_id AND b.i = s.b),
+pp AS MATERIALIZED (SELECT sg.*, p.x - ax AS px, p.y - ay AS py FROM sg JOIN un p ON p.ring_id = sg.ring_id AND p.i >= sg.a AND p.i <= sg.b),
+tt AS (SELECT *, CASE WHEN dx * dx + dy * dy > 1e-12 THEN greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM pp),
+dv AS (SELECT ring_id, a, b, sqrt(dx * dx + dy * dy) AS len, sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) AS d FROM tt),
 rn AS (SELECT ring_id, a, len FROM dv GROUP BY ring_id, a, b, len HAVING max(d) <= 2 AND avg(d) <= 1.2 AND len >= 6)
 SELECT ring_id, anchors, count(rn.a) AS runs, coalesce(round(sum(len), 6), 0) AS length FROM (SELECT ring_id, count(*) AS anchors FROM kp GROUP BY 1) LEFT JOIN rn USING (ring_id) GROUP BY ALL""",
     "spline_loop": f"""WITH RECURSIVE {_simplified(0.8)}, st AS (SELECT ring_id, least(a, b) AS begin FROM m2),
