@@ -47,19 +47,19 @@ def _license() -> str:
     places = " UNION ALL ".join(
         f"SELECT doc_id, unnest(list_filter(range(len(ws)), lambda p: ws[p + 1:p + {len(phrase.split())}] = {phrase.split()})) AS p, '{label}' AS label FROM w" for phrase, label in PHRASES
     )
-    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS ws FROM documents),
-pl AS ({places}),
+    return rf"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS ws FROM documents),
+pl AS MATERIALIZED ({places}),
 ba AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word FROM pl GROUP BY 1),
 tp AS (SELECT * FROM (VALUES {", ".join(wanted)}) v(t, word, named)),
 tn AS (SELECT * FROM (VALUES {", ".join(sizes)}) v(t, label, n, need, span, n_named)),
 wi AS (SELECT * FROM (VALUES {", ".join(wider)}) v(t, o)),
-po AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM w),
-hi AS (SELECT doc_id, t, word, named, p FROM po JOIN tp USING (word)),
+po AS MATERIALIZED (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM w),
+hi AS MATERIALIZED (SELECT doc_id, t, word, named, p FROM po JOIN tp USING (word)),
 ca AS (SELECT doc_id, t FROM hi JOIN tn USING (t) GROUP BY doc_id, t, need, n_named HAVING count(DISTINCT word) >= need AND count(DISTINCT word) FILTER (named) = n_named),
-ch AS (SELECT hi.* FROM hi JOIN ca USING (doc_id, t)),
+ch AS MATERIALIZED (SELECT hi.* FROM hi JOIN ca USING (doc_id, t)),
 bl AS (SELECT a.doc_id, a.t, a.p AS first, max(b.p) AS last, count(DISTINCT b.word) AS c, count(DISTINCT b.word) FILTER (b.named) AS cn
   FROM ch a JOIN tn USING (t) JOIN ch b ON b.doc_id = a.doc_id AND b.t = a.t AND b.p BETWEEN a.p AND a.p + span - 1 GROUP BY ALL),
-mb AS (SELECT doc_id, t, label, first, last, c / n AS share FROM bl JOIN tn USING (t) WHERE c >= need AND cn = n_named),
+mb AS MATERIALIZED (SELECT doc_id, t, label, first, last, c / n AS share FROM bl JOIN tn USING (t) WHERE c >= need AND cn = n_named),
 ma AS (SELECT doc_id, label, max(share) AS share FROM mb WHERE NOT EXISTS (SELECT 1 FROM wi JOIN mb x ON x.t = wi.o
   WHERE wi.t = mb.t AND x.doc_id = mb.doc_id AND x.first <= mb.last AND mb.first <= x.last) GROUP BY ALL),
 la AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM pl UNION ALL SELECT doc_id, label FROM ma) GROUP BY 1),
