@@ -28,13 +28,19 @@ def escape_attribute(text: Column) -> Column:
     return out
 
 
-def primitive_markup(kind: Column, p: dict[str, Column], fill: Column) -> Column:
+def paint(fill: Column, stroke: str | None = None) -> Column:
+    """Attributes of a fill and, where there is one, a stroke."""
+    line = F.concat(F.lit(' stroke="'), escape_attribute(F.lit(stroke)), F.lit('"')) if stroke else F.lit("")
+    return F.concat(F.lit('fill="'), escape_attribute(fill), F.lit('"'), line)
+
+
+def primitive_markup(kind: Column, p: dict[str, Column], fill: Column, stroke: str | None = None) -> Column:
     """A circle, ellipse or (rounded) rectangle tag; turned where the angle is 0.001 degrees or more; null for other kinds."""
     numbers = (p["cx"], p["cy"], p["rx"], p["ry"], p["angle"], p["radius"], p["cx"] - p["rx"], p["cy"] - p["ry"], 2 * p["rx"], 2 * p["ry"])
 
     def tag(t: Column) -> Column:
         cx, cy, rx, ry, angle, radius, x, y, wide, high = (t[k] for k in range(10))
-        tail = F.concat(F.lit(' fill="'), escape_attribute(fill), F.lit('"'))
+        tail = F.concat(F.lit(" "), paint(fill, stroke))
         turn = F.when(F.abs(p["angle"]) >= 1e-3, F.concat(F.lit(' transform="rotate('), angle, F.lit(" "), cx, F.lit(" "), cy, F.lit(')"'))).otherwise(F.lit(""))
         centre = F.concat(F.lit('cx="'), cx, F.lit('" cy="'), cy, F.lit('"'))
         corner = F.when(p["radius"] > 0, F.concat(F.lit(' rx="'), radius, F.lit('"'))).otherwise(F.lit(""))

@@ -58,15 +58,19 @@ def shape_row(shape: Any, area: float, kind: str) -> dict:
     }
 
 
-def _map(images: DataFrame, column: str, kernel: Callable[[np.ndarray], Iterable[dict]], key: str, channels: int = 1) -> DataFrame:
+def _map(images: DataFrame, column: str, kernel: Callable[[np.ndarray, tuple[float, float]], Iterable[dict]], key: str, s: Common, channels: int = 1) -> DataFrame:
+    """(key, SHAPE): kernel's rows of every image. It also takes the scales that lead to the original's coordinates, where
+    the images have them and the order draws in these (the primitive-first one doesn't)."""
     kind = images.schema[key].dataType.simpleString()
+    scaled = {"scale_x", "scale_y"} <= set(images.columns) and not isinstance(s, PrimitiveFirst)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{key: image} | row for image, plane in zip(batch.column(key).to_pylist(), planes(batch, column, channels), strict=True) for row in kernel(plane)]
+            scales = zip(*(batch.column(c).to_pylist() for c in ("scale_x", "scale_y")), strict=True) if scaled else [(1.0, 1.0)] * batch.num_rows
+            rows = [{key: image} | row for image, scale, plane in zip(batch.column(key).to_pylist(), scales, planes(batch, column, channels), strict=True) for row in kernel(plane, scale)]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(key, batch.schema.field(key).type), *_FIELDS]))
 
-    return images.select(key, "width", "height", column).mapInArrow(run, f"`{key}` {kind}, {SHAPE}")
+    return images.select(key, "width", "height", column, *(["scale_x", "scale_y"] if scaled else [])).mapInArrow(run, f"`{key}` {kind}, {SHAPE}")
 
 
 def shapes(rasters: DataFrame, settings: Common | None = None, primitive_first: bool = False, key: str = KEY, by_value: bool = False) -> DataFrame:
@@ -76,12 +80,12 @@ def shapes(rasters: DataFrame, settings: Common | None = None, primitive_first:
 
     s = vectorize.settings_of(primitive_first, settings)
 
-    def kernel(cells: np.ndarray) -> Iterator[dict]:
+    def kernel(cells: np.ndarray, scale: tuple[float, float]) -> Iterator[dict]:
         for value in np.unique(cells[cells > 0]) if by_value else [1] if cells.any() else []:
-            found = vectorize.shapes(cells == value if by_value else cells > 0, settings=s)
+            found = vectorize.shapes(cells == value if by_value else cells > 0, settings=s, scale=scale)
             yield from ({"value": int(value), "ordinal": k} | shape_row(*x) for k, x in enumerate(found))
 
-    return _map(rasters, "data", kernel, key)
+    return _map(rasters, "data", kernel, key, s)
 
 
 def color_shapes(images: DataFrame, settings: ClassifyFirst | None = None, key: str = KEY) -> DataFrame:
@@ -91,25 +95,25 @@ def color_shapes(images: DataFrame, settings: ClassifyFirst | None = None, key:
 
     s = settings or ClassifyFirst()
 
-    def kernel(rgb: np.ndarray) -> Iterator[dict]:
+    def kernel(rgb: np.ndarray, scale: tuple[float, float]) -> Iterator[dict]:
         if not rgb.size:
             return
         found = color.segment(rgb, None, s.max_colors, s.quantization_method, s.color_distance_threshold, s.merge_similar_colors, s.background_mode, s.background_color)
         for layer in found.layers:
-            drawn = vectorize.shapes(layer.mask, settings=s, layer_id=layer.layer_id, z=layer.z, fill=layer.colour.hex)
+            drawn = vectorize.shapes(layer.mask, settings=s, scale=scale, layer_id=layer.layer_id, z=layer.z, fill=layer.colour.hex)
             yield from ({"value": layer.colour.ix, "ordinal": k} | shape_row(*x) for k, x in enumerate(drawn))
 
-    return _map(images, "rgb", kernel, key, 3)
+    return _map(images, "rgb", kernel, key, s, 3)
 
 
-def markups(found: DataFrame, fill: str | Column | None = None, key: str = KEY) -> DataFrame:
+def markups(found: DataFrame, fill: str | Column | None = None, key: str = KEY, stroke: str | None = None) -> DataFrame:
     """(key, z, ordinal, markup): a primitive's tag for shapes without holes, else paths; holes are painted over. Layers are
     groups: their shapes stand between a g tag and its end."""
     fill = F.coalesce("fill", F.lit("#000000")) if fill is None else fill if isinstance(fill, Column) else F.lit(fill)
     c = {n: F.coalesce(n, F.lit(0.0)) for n in ("cx", "cy", "rx", "ry", "angle", "radius")}
-    path = lambda p, f: F.concat(F.lit('<path d="'), p, F.lit('" fill="'), documents.escape_attribute(f), F.lit('"/>'))
-    tag = F.when(F.col("n_holes") == 0, documents.primitive_markup(F.col("kind"), c, fill))
-    lines = F.concat(F.array(F.coalesce(tag, path(F.col("path"), fill))), F.transform("hole_paths", lambda p: path(p, F.lit(documents.HOLE_FILL))))
+    path = lambda p, f, line: F.concat(F.lit('<path d="'), p, F.lit('" '), documents.paint(f, line), F.lit("/>"))
+    tag = F.when(F.col("n_holes") == 0, documents.primitive_markup(F.col("kind"), c, fill, stroke))
+    lines = F.concat(F.array(F.coalesce(tag, path(F.col("path"), fill, stroke))), F.transform("hole_paths", lambda p: path(p, F.lit(documents.HOLE_FILL), None)))
     lines = F.concat(
         F.when((F.col("ordinal") == 0) & F.col("layer_id").isNotNull(), F.array(F.concat(F.lit('<g id="'), documents.escape_attribute(F.col("layer_id")), F.lit('">')))).otherwise(F.array().cast("array<string>")), lines,
     )
@@ -119,8 +123,9 @@ def markups(found: DataFrame, fill: str | Column | None = None, key: str = KEY)
 
 
 def _svg(found: DataFrame, images: DataFrame, s: Common, key: str) -> DataFrame:
-    sizes = images.select(key, "width", "height", F.create_map().cast("map<string,string>").alias("metadata"))
-    return documents.export_svg(markups(found, None, key), sizes, key, s.background)
+    first = "original_" if "original_width" in images.columns and not isinstance(s, PrimitiveFirst) else ""
+    sizes = images.select(key, F.col(f"{first}width").alias("width"), F.col(f"{first}height").alias("height"), F.create_map().cast("map<string,string>").alias("metadata"))
+    return documents.export_svg(markups(found, None, key, s.stroke_color), sizes, key, s.background)
 
 
 def to_svg(rasters: DataFrame, settings: Common | None = None, primitive_first: bool = False, key: str = KEY) -> DataFrame:

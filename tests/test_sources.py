@@ -40,6 +40,41 @@ def test_image_source_to_svg(spark, tmp_path):
     assert len(svg) == 1 and "<circle " in svg[0].svg and svg[0].svg.endswith("</svg>")
 
 
+def test_images_by_settings(spark, tmp_path):
+    """Rows of images and single files are drawn alike: resizing leads back to the original's coordinates, colours are reduced."""
+    from rastrel.config import ClassifyFirst, PrimitiveFirst
+    from rastrel.streaming.jobs import draw
+
+    rng = np.random.default_rng(1)
+    rgb = np.repeat(np.repeat(rng.integers(0, 256, (20, 20, 3)), 4, 0), 4, 1).astype(np.uint8)
+    (tmp_path / "many.png").write_bytes(png.encode(rgb))
+    images = files.read_images(spark, str(tmp_path))
+    for settings in (
+        ClassifyFirst(target_size=40, stroke_color="#123"), ClassifyFirst(vectorization_mode="color", max_colors=5, background="#fff"), ClassifyFirst(vectorization_mode="auto", min_region_area=10**6), PrimitiveFirst(target_size=40, invert=True),
+    ):
+        svg = pipelines.vectorize_images(images, settings).collect()
+        assert len(svg) == 1 and svg[0].svg == draw(png.encode(rgb), settings)[0]
+        assert svg[0].svg.count("<g ") == (len(set(pipelines.color_shapes(pipelines.decode(images, settings), settings).select("fill").toPandas().fill)) if settings.__dict__.get("vectorization_mode") == "color" else 0)
+
+
+def test_many_colours_are_reduced(spark):
+    """400 colours come out as eight at most, and values beyond a byte are an error."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from rastrel.operators import pixels
+
+    rng = np.random.default_rng(2)
+    rgb = np.repeat(np.repeat(rng.integers(0, 256, (20, 20, 3)), 7, 0), 7, 1).astype(np.uint8)
+    images = spark.createDataFrame([(1, 140, 140, bytearray(rgb.tobytes())), (2, 0, 0, None)], "image_id long, width int, height int, rgb binary")
+    found = pipelines.color_shapes(images).select("fill").distinct().count()
+    assert 1 < found <= 8 and pipelines.color_svg(images).count() == 2
+    assert pipelines.statistics(pipelines.color_shapes(images)).first().num_fills == found
+    cells = spark.range(300).select(F.lit(1).alias("image_id"), F.col("id").cast("int").alias("x"), F.lit(0).alias("y"), F.col("id").cast("int").alias("v"))
+    with pytest.raises(Exception, match="does not fit a byte"):
+        pixels.rasters(cells, value="v").collect()
+
+
 def test_uploads(spark, tmp_path):
     uploads = tmp_path / "uploads"
     uploads.mkdir()
