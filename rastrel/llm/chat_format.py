@@ -60,7 +60,8 @@ def segments(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     ix numbers a conversation's rows from 0 by turn, ties by role and text, null turns last. An assistant's row
     ends example 0, 1, ...; its loss span is the reply within the segment. Other rows have an empty span and
     no example of their own. context_chars is the length of all segments before. Null roles and texts are empty;
-    rows with a null conversation make up one. Repeated rows are turns of their own; further columns are ignored."""
+    rows with a null conversation make up one. Repeated rows are turns of their own; further columns are ignored, whatever
+    they are named. Texts of any length are formatted whole, a row at a time. An empty table gives an empty result."""
     kind = turns.schema[conv_col].dataType.simpleString()
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -89,7 +90,8 @@ def examples(found: DataFrame, conv_col: str = "conv_id", tails: bool = False) -
 
     Takes segments() as it comes, a conversation at a time, so a null conversation has its examples as any other.
     With tails, each conversation ends with a row of no example, whose text is the turns after its last reply.
-    The characters of the result grow with the square of a conversation's turns, as the method's examples do."""
+    The characters of the result grow with the square of a conversation's turns, as the method's examples do; a task holds
+    one example and the turns after it, so a conversation must fit a task's memory."""
     kind = found.schema[conv_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,8 +49,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     Sections are the text's lines with their newlines, or those whose ends (code points, ascending) are listed in
     sections_col; text after the last end is a section of its own. section_tokens adds up to n_tokens: every
     token goes to one section, by `rule` where it crosses a boundary. A boundary within a character can't be.
-    Null and empty texts have no tokens; they have no sections unless listed. Ends beyond the text give empty
-    sections. Repeated rows come out as often as they come in; further columns are ignored."""
+    Null and empty texts have no tokens; they have no sections unless listed. Very long texts are encoded whole. Ends beyond
+    the text give empty sections. Repeated rows come out as often as they come in, ids don't matter; further columns are
+    ignored, whatever they are named. An empty table gives an empty result."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
         own = codec(path, pattern)
