@@ -34,7 +34,7 @@ SIMILAR = (4, 5)
 #: Buckets of a class, and minima in the key of each.
 BANDS, ROWS = 24, 4
 #: Shingles of a bucket that one task searches, and comparisons of a larger one before it is dealt into chunks.
-HOT, ROUNDS = 1 << 15, 4
+HOT, ROUNDS = 1 << 17, 4
 _SLACK = 1e-9
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _TURNS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U64)).astype(np.uint32).reshape(2, -1)
@@ -149,7 +149,8 @@ def _distances(hot: DataFrame, texts: DataFrame) -> DataFrame:
                 opens = np.flatnonzero(kind == 0)
                 names, counts, _ = shingles(part.column("text"))
                 ends = np.r_[0, np.cumsum(counts)]
-                runs = [(-1, 0, opens[0] if len(opens) else len(fps)), *((o, o + 1, e) for o, e in zip(opens, np.r_[opens[1:], len(fps)], strict=True))]
+                stops = [*opens, len(fps)]  # a slice may hold no pivot of its own and go on with the last one
+                runs = [(-1, 0, stops[0]), *((o, o + 1, e) for o, e in zip(opens, stops[1:], strict=True))]
                 near, far = np.zeros(len(fps), bool), np.zeros(len(fps))
                 to = np.zeros(len(fps), np.int64)
                 for o, a, b in runs:

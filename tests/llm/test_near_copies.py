@@ -78,6 +78,12 @@ def test_large_buckets_lose_no_link(spark):
     want = set(smallest(texts))
     for hot in (near_copies.HOT, 2_000, 300):
         assert {r.doc_id for r in near_copies.keep_one(docs, hot=hot).collect()} == want
+    # A pivot and the classes that meet it may come in different batches.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {r.doc_id for r in near_copies.keep_one(docs, hot=2_000).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert 10 < len(want) < len(texts)
 
 
