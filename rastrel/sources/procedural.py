@@ -4,6 +4,8 @@ Pixels come from integer arithmetic alone, so that any engine makes the same one
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Pixels a side.
 SIDE = 32
+#: A whole turn in radians, to the digits that the SQL writes.
+TURN = 2 * Decimal("3.141592653589793")
 
 
 def _inside(kind: Column, size: Column, u: Column, v: Column) -> Column:
@@ -123,7 +127,9 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").over(by).cast("int").alias("n"),
         (20 + F.coalesce("value", F.lit(0.0)) / 10).alias("radius"),
     )
-    angle = F.lit(2 * 3.141592653589793) * F.col("i") / F.col("n")
+    # As in the SQL, where the literals are decimals: the product is exact, and only then a double. A rounded one moves points by
+    # a unit in the last place, which decides whether edges that lie on each other count as crossing.
+    angle = (F.lit(TURN) * F.col("i").cast("decimal(10,0)")).cast("double") / F.col("n")
     return rows.select("ring_id", "i", "n", (F.col("radius") * F.cos(angle)).alias("x"), (F.col("radius") * F.sin(angle)).alias("y"))
 
 
