@@ -24,6 +24,47 @@ def planes(batch: pa.RecordBatch, column: str, channels: int = 1) -> Iterator[np
         yield cells.reshape((h, w) if channels == 1 else (h, w, channels))
 
 
+#: Bytes of rasters, and of what was made of them, that a worker remembers before it starts afresh.
+REMEMBERED = 64 << 20
+_known: dict[tuple, tuple[pa.RecordBatch, int]] = {}
+
+
+def _recall(own: tuple, make: Callable[[], list[dict]], schema: pa.Schema) -> pa.RecordBatch:
+    found = _known.get(own)
+    if found is None:
+        made = pa.RecordBatch.from_pylist(make(), schema=schema)
+        size = made.nbytes + sum(len(x) for x in own if isinstance(x, bytes)) + 1024
+        total = size + (next(reversed(_known.values()))[1] if _known else 0)  # the last entry's is that of all
+        if total > REMEMBERED:
+            _known.clear()
+            total = size
+        found = _known[own] = made, total
+    return found[0]
+
+
+def each_distinct(name: str, planes_: Iterable[tuple[np.ndarray, tuple]], make: Callable[[np.ndarray, tuple], list[dict]], schema: pa.Schema) -> tuple[pa.Table, np.ndarray]:
+    """(rows, the place of the input that each belongs to): make's rows of every (plane, settings of its own).
+
+    Equal planes are worked on once by a worker, whose memory of them is bounded; unlike ones cost what they did. name tells
+    all that make depends on besides its arguments."""
+    place: dict[tuple, int] = {}
+    parts: list[pa.RecordBatch] = []
+    which = []
+    for plane, more in planes_:
+        own = (name, plane.shape, more, plane.tobytes())
+        if own not in place:
+            place[own] = len(parts)
+            parts.append(_recall(own, lambda: make(plane, more), schema))  # noqa: B023
+        which.append(place[own])
+    which = np.array(which, np.int64)
+    sizes = np.array([p.num_rows for p in parts], np.int64)
+    opens = np.cumsum(sizes) - sizes
+    counts = sizes[which] if len(which) else which
+    rows = np.repeat(np.arange(len(which)), counts)
+    at = np.repeat(opens[which] if len(which) else which, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return pa.Table.from_batches(parts, schema).combine_chunks().take(pa.array(at)), rows
+
+
 def binary(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(a, np.uint8).tobytes() for a in arrays], pa.binary())
 

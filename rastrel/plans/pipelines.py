@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rastrel.config import ClassifyFirst, Common, PrimitiveFirst
 from rastrel.operators import documents
-from rastrel.operators.images import planes
+from rastrel.operators.images import each_distinct, planes
 from rastrel.operators.pixels import KEY
 from rastrel.operators.segments import LOOP, NUMBERS
 
@@ -58,17 +58,20 @@ def shape_row(shape: Any, area: float, kind: str) -> dict:
     }
 
 
-def _map(images: DataFrame, column: str, kernel: Callable[[np.ndarray, tuple[float, float]], Iterable[dict]], key: str, s: Common, channels: int = 1) -> DataFrame:
-    """(key, SHAPE): kernel's rows of every image. It also takes the scales that lead to the original's coordinates, where
-    the images have them and the order draws in these (the primitive-first one doesn't)."""
+def _map(images: DataFrame, column: str, kernel: Callable[[np.ndarray, tuple[float, float]], Iterable[dict]], key: str, s: Common, channels: int = 1, by_value: bool = False) -> DataFrame:
+    """(key, SHAPE): kernel's rows of every image, equal ones drawn once by a worker. It also takes the scales that lead to the
+    original's coordinates, where the images have them and the order draws in these (the primitive-first one doesn't)."""
     kind = images.schema[key].dataType.simpleString()
     scaled = {"scale_x", "scale_y"} <= set(images.columns) and not isinstance(s, PrimitiveFirst)
+    name, fields = f"{column} {by_value} {s!r}", pa.schema(_FIELDS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scales = zip(*(batch.column(c).to_pylist() for c in ("scale_x", "scale_y")), strict=True) if scaled else [(1.0, 1.0)] * batch.num_rows
-            rows = [{key: image} | row for image, scale, plane in zip(batch.column(key).to_pylist(), scales, planes(batch, column, channels), strict=True) for row in kernel(plane, scale)]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(key, batch.schema.field(key).type), *_FIELDS]))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                scales = zip(*(part.column(c).to_pylist() for c in ("scale_x", "scale_y")), strict=True) if scaled else [(1.0, 1.0)] * part.num_rows
+                found, rows = each_distinct(name, zip(planes(part, column, channels), scales, strict=True), lambda plane, scale: list(kernel(plane, scale)), fields)
+                yield from found.add_column(0, key, part.column(key).take(pa.array(rows))).to_batches()
 
     return images.select(key, "width", "height", column, *(["scale_x", "scale_y"] if scaled else [])).mapInArrow(run, f"`{key}` {kind}, {SHAPE}")
 
@@ -85,7 +88,7 @@ def shapes(rasters: DataFrame, settings: Common | None = None, primitive_first:
             found = vectorize.shapes(cells == value if by_value else cells > 0, settings=s, scale=scale)
             yield from ({"value": int(value), "ordinal": k} | shape_row(*x) for k, x in enumerate(found))
 
-    return _map(rasters, "data", kernel, key, s)
+    return _map(rasters, "data", kernel, key, s, by_value=by_value)
 
 
 def color_shapes(images: DataFrame, settings: ClassifyFirst | None = None, key: str = KEY) -> DataFrame:
