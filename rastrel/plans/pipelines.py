@@ -120,9 +120,12 @@ def markups(found: DataFrame, fill: str | Column | None = None, key: str = KEY,
     lines = F.concat(
         F.when((F.col("ordinal") == 0) & F.col("layer_id").isNotNull(), F.array(F.concat(F.lit('<g id="'), documents.escape_attribute(F.col("layer_id")), F.lit('">')))).otherwise(F.array().cast("array<string>")), lines,
     )
-    drawn = found.select(key, "z", F.format_string("%06d-", "ordinal").alias("o"), F.posexplode(lines).alias("k", "markup")).select(key, "z", F.concat("o", F.format_string("%06d", "k")).alias("ordinal"), "markup")
-    ends = found.where("ordinal = 0 and layer_id is not null").select(key, "z", F.lit("~").alias("ordinal"), F.lit("</g>").alias("markup"))
-    return drawn.unionByName(ends)
+    place = lambda m, k: F.struct(F.concat(F.format_string("%06d-", "ordinal"), F.format_string("%06d", k)).alias("ordinal"), m.alias("markup"))
+    end = F.struct(F.lit("~").alias("ordinal"), F.lit("</g>").alias("markup"))
+    lines = F.transform(lines, place)
+    # The group's end goes along with its first shape, so that found is made once.
+    lines = F.when((F.col("ordinal") == 0) & F.col("layer_id").isNotNull(), F.concat(lines, F.array(end))).otherwise(lines)
+    return found.select(key, "z", F.explode(lines).alias("line")).select(key, "z", "line.ordinal", "line.markup")
 
 
 def _svg(found: DataFrame, images: DataFrame, s: Common, key: str) -> DataFrame:

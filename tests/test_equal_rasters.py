@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from rastrel.operators import images
+from rastrel.plans import pipelines
 
 
 def test_equal_planes_are_worked_on_once(monkeypatch):
@@ -26,3 +27,14 @@ def test_equal_planes_are_worked_on_once(monkeypatch):
             assert list(zip(rows.tolist(), found.column("v").to_pylist(), strict=True)) == want and len(calls) >= n
         assert (len(calls) == 0) == (again == 0)
     assert images.each_distinct("test", iter([]), make, schema)[0].num_rows == 0
+
+
+def test_shapes_are_made_once_for_all_lines(spark):
+    rgb = np.full((12, 12, 3), 255, np.uint8)
+    rgb[2:10, 2:10] = (200, 0, 0)
+    docs = spark.createDataFrame([(k, 12, 12, rgb.tobytes()) for k in range(3)], "image_id long, width int, height int, rgb binary")
+    found = pipelines.color_shapes(docs)
+    lines = pipelines.markups(found)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for r in pipelines.color_svg(docs).collect():
+        assert r.svg.count("<g ") == r.svg.count("</g>") == 1 and r.svg.index("<g ") < r.svg.index("<", r.svg.index("<g ") + 1) < r.svg.index("</g>")
