@@ -65,6 +65,25 @@ def background(labelled: DataFrame, key: str = KEY, least: float = 0.35) -> Data
     return best.select(key, F.when(support >= least, -c("b.l")).cast("int").alias("background"), support.alias("support"))
 
 
+def edge_colours(pixels: DataFrame, size: tuple[int, int], key: str = KEY) -> DataFrame:
+    """palette() with `votes` long: how often a colour stands on the four edges of images of one size, corners counted twice.
+
+    One aggregation, so that no pixel is joined with its colour."""
+    c = F.col
+    sides = sum((c(n) == at).cast("int") for n, length in zip(("x", "y"), size, strict=True) for at in (0, length - 1))
+    counts = pixels.groupBy(key, "r", "g", "b").agg(F.count("*").alias("n"), F.sum(sides).alias("votes"))
+    order = Window.partitionBy(key).orderBy(F.desc("n"), "r", "g", "b")
+    return counts.select(key, (F.row_number().over(order) - 1).cast("int").alias("ix"), "r", "g", "b", rgb_to_hex(c("r"), c("g"), c("b")).alias("hex"), "n", "votes")
+
+
+def background_of(colours: DataFrame, key: str = KEY, least: float = 0.35) -> DataFrame:
+    """background() from edge_colours()."""
+    c = F.col
+    best = colours.where("votes > 0").groupBy(key).agg(F.max(F.struct("votes", (-c("ix")).alias("l"))).alias("b"), F.sum("votes").alias("all"))
+    support = c("b.votes") / c("all")
+    return best.select(key, F.when(support >= least, -c("b.l")).cast("int").alias("background"), support.alias("support"))
+
+
 def nearest_colour(colours: DataFrame, text: str, key: str = KEY) -> DataFrame:
     """(key, background int): the colour nearest to a given one, the lower ix of equals."""
     c = F.col
@@ -94,7 +113,20 @@ def membership(labelled: DataFrame, colours: DataFrame, label: int, key: str = K
 
 def layers(colours: DataFrame, ground: DataFrame, key: str = KEY) -> DataFrame:
     """(key, layer_id, z int, ix, hex, n): a layer for each colour but the background, by descending count."""
+    return _layers(colours.join(ground, key), key)
+
+
+def layers_of(colours: DataFrame, key: str = KEY, least: float = 0.35) -> DataFrame:
+    """layers() from edge_colours(), whose rows of an image choose the background among themselves."""
+    c = F.col
+    whole = Window.partitionBy(key)
+    best = F.max(F.when(c("votes") > 0, F.struct("votes", (-c("ix")).alias("l")))).over(whole)
+    rows = colours.withColumn("b", best).withColumn("all", F.sum("votes").over(whole)).where("b is not null")
+    return _layers(rows.withColumn("background", F.when(c("b.votes") / c("all") >= least, -c("b.l")).cast("int")), key)
+
+
+def _layers(rows: DataFrame, key: str) -> DataFrame:
     c = F.col
-    rest = colours.join(ground, key).where(c("background").isNull() | (c("ix") != c("background")))
+    rest = rows.where(c("background").isNull() | (c("ix") != c("background")))
     order = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "ix")) - 1
     return rest.select(key, order.cast("int").alias("z"), "ix", "hex", "n").select(key, F.format_string("layer_%02d_%s", "z", F.substring("hex", 2, 6)).alias("layer_id"), "z", "ix", "hex", "n")
