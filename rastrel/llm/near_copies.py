@@ -203,27 +203,29 @@ def links(found: DataFrame, texts: DataFrame, hot: int = HOT) -> DataFrame:
     return searched.unionByName(more) if more is not None else searched
 
 
-def _search(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that span each bucket's components; one bucket is one task's."""
+def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of batches (key, fp, text) in order of key. Strings are made of a slice at a time and kept for one bucket, so
+    that a task's memory follows neither the size of Spark's batches nor their number."""
+    now, fps, held = None, [], []
+
+    def close() -> pa.RecordBatch:
+        pairs = linked(*shingles(pa.array(held, pa.large_string()))[:2])
+        return pa.RecordBatch.from_pydict({n: pa.array([fps[p[k]] for p in pairs], pa.int64()) for k, n in enumerate("ab")})
+
+    for part in (p for batch in batches for p in text_slices(batch, "text")):
+        for key, fp, text in zip(*(part.column(c).to_pylist() for c in ("key", "fp", "text")), strict=True):
+            if key != now:
+                if len(fps) > 1:
+                    yield close()
+                now, fps, held = key, [], []
+            fps.append(fp)
+            held.append(text)
+    if len(fps) > 1:
+        yield close()
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fps, held = None, [], []
-
-        def close() -> pa.RecordBatch:
-            pairs = linked(*shingles(pa.array(held, pa.large_string()))[:2])
-            return pa.RecordBatch.from_pydict({n: pa.array([fps[p[k]] for p in pairs], pa.int64()) for k, n in enumerate("ab")})
-
-        for batch in batches:
-            for key, fp, text in zip(*(batch.column(c).to_pylist() for c in ("key", "fp", "text")), strict=True):
-                if key != now:
-                    if len(fps) > 1:
-                        yield close()
-                    now, fps, held = key, [], []
-                fps.append(fp)
-                held.append(text)
-        if len(fps) > 1:
-            yield close()
 
+def _search(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that span each bucket's components; one bucket is one task's."""
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = found.join(texts.hint("merge"), "fp").repartition(parts, "key").sortWithinPartitions("key")
     return rows.select("key", "fp", "text").mapInArrow(search, "a long, b long")

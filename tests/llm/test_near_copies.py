@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +93,15 @@ def test_clashing_columns_and_empty_table(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, fp int")
     assert sorted(map(tuple, near_copies.keep_one(docs).collect())) == [rows[0], rows[2]]
     assert near_copies.keep_one(docs.limit(0)).collect() == []
+
+
+def test_a_search_holds_strings_of_a_slice_alone():
+    """Memory for a batch of 32 MB of texts in buckets of two stays at a few slices, and each bucket finds its link."""
+    texts = [f"{k} " + "word " * 3300 for k in range(1000) for _ in "ab"]
+    batch = pa.RecordBatch.from_pydict({"key": pa.array([k // 2 for k in range(2000)]), "fp": pa.array(range(2000)), "text": pa.array(texts)})
+    del texts
+    tracemalloc.start()
+    found = [(a, b) for part in near_copies.search(iter([batch])) for a, b in zip(*(part.column(c).to_pylist() for c in "ab"), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(k, k + 1) for k in range(0, 2000, 2)] and peak < 16 << 20
