@@ -18,7 +18,7 @@ from rastrel.sources.procedural import RINGS_SQL, SIDE
 
 
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.masks(sources.images(spark, sf_dir))
+    return images.masks(sources.images(spark, sf_dir, ("grey",)))
 
 
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,11 +135,36 @@ def _svg(found: DataFrame, images: DataFrame, s: Common, key: str) -> DataFrame:
 
 
 def to_svg(rasters: DataFrame, settings: Common | None = None, primitive_first: bool = False, key: str = KEY) -> DataFrame:
-    """(key, svg) for every raster."""
-    from rastrel.kernels import vectorize
+    """(key, svg) for every raster, drawn and written in one pass; one without width or height has a null svg.
+
+    A document is its raster's alone, so nothing is shuffled or joined; equal rasters of equal scales and sizes are drawn once
+    by a worker."""
+    from rastrel.kernels import document, vectorize
 
     s = vectorize.settings_of(primitive_first, settings)
-    return _svg(shapes(rasters, s, key=key), rasters, s, key)
+    kind = rasters.schema[key].dataType.simpleString()
+    leads_back = not isinstance(s, PrimitiveFirst)  # that order draws in the raster's coordinates
+    scaled = leads_back and {"scale_x", "scale_y"} <= set(rasters.columns)
+    first = "original_" if leads_back and "original_width" in rasters.columns else ""
+    more = [*(["scale_x", "scale_y"] if scaled else []), f"{first}width", f"{first}height"]
+    name, fields = f"svg {s!r}", pa.schema([("svg", pa.string())])
+
+    def make(cells: np.ndarray, own: tuple) -> list[dict]:
+        *scale, width, height = own
+        if width is None or height is None:
+            return [{"svg": None}]
+        found = vectorize.shapes(cells > 0, settings=s, scale=tuple(scale) if scaled else (1.0, 1.0)) if cells.any() else []
+        return [{"svg": document.export(document.assemble(width, height, [shape for shape, _, _ in found]), s.background)}]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                given = zip(*(part.column(c).to_pylist() for c in more), strict=True)
+                found, _ = each_distinct(name, zip(planes(part, "data"), given, strict=True), make, fields)
+                yield from found.add_column(0, key, part.column(key)).to_batches()
+
+    return rasters.select(key, *dict.fromkeys(["width", "height", "data", *more])).mapInArrow(run, f"`{key}` {kind}, svg string")
 
 
 def color_svg(images: DataFrame, settings: ClassifyFirst | None = None, key: str = KEY) -> DataFrame:

@@ -39,8 +39,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, width, height int, grey, rgb binary): the rasters of pixels(), a row each."""
+def images(spark: SparkSession, sf_dir: str, kept: tuple[str, ...] = ("grey", "rgb")) -> DataFrame:
+    """(image_id, width, height int, grey, rgb binary): the rasters of pixels(), a row each. kept: the planes to make, in this order."""
     y, x = (a.ravel() for a in np.mgrid[:SIDE, :SIDE])
     u, v = 2 * x - (SIDE - 1), 2 * y - (SIDE - 1)
     square, ground = u * u + v * v, 200 + (7 * x + 13 * y) % 40
@@ -51,25 +51,31 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 n = batch.num_rows
-                ids, size = batch.column("image_id").to_numpy(), batch.column("size").to_numpy().astype(np.int64)
-                digit = np.array([int(b[6]) for b in batch.column("brand").to_pylist()])
+                ids, sizes = batch.column("image_id").to_numpy(), batch.column("size").to_numpy().astype(np.int64)
+                # Kind and size make a shape; equal ones are made once.
+                drawn, at_drawn = np.unique(ids % 5 + 5 * sizes, return_inverse=True)
+                kind, size = drawn % 5, drawn // 5
                 reach = 2 * (size % 9 + 6)[:, None]
                 two = ((u + 15) ** 2 + v * v <= 100) | ((u - 15) ** 2 + v * v <= ((size % 8) ** 2)[:, None])
                 kinds = (
                     square <= reach**2, (np.abs(u) <= reach) & (np.abs(v) <= reach), (square <= reach**2) & (4 * square > reach**2),
                     (v >= -reach) & (v <= reach) & (2 * np.abs(u) <= v + reach), two,
                 )
-                inside = np.choose((ids % 5)[:, None], kinds)
-                grey = np.where(inside, (40 + size)[:, None], ground)
-                rgb = np.full((n, SIDE * SIDE, 3), 240)
-                for k, tone in enumerate((25 * digit[:, None] + np.where(y < SIDE // 2, 6, 0), (30 * (size % 6))[:, None], 90)):
-                    rgb[..., k] = np.where(inside, tone, 240)
-                yield pa.RecordBatch.from_pydict({
-                    "image_id": batch.column("image_id"), "width": pa.array(np.full(n, SIDE, np.int32)), "height": pa.array(np.full(n, SIDE, np.int32)),
-                    "grey": pa.array([r.tobytes() for r in grey.astype(np.uint8)], pa.binary()), "rgb": pa.array([r.tobytes() for r in rgb.astype(np.uint8)], pa.binary()),
-                })
-
-    return _parts(spark, sf_dir).mapInArrow(run, "image_id long, width int, height int, grey binary, rgb binary")
+                inside = np.choose(kind[:, None], kinds)
+                made = {}
+                if "grey" in kept:
+                    grey = [r.tobytes() for r in np.where(inside, (40 + size)[:, None], ground).astype(np.uint8)]
+                    made["grey"] = [grey[k] for k in at_drawn]
+                if "rgb" in kept:
+                    digit = np.array([int(b[6]) for b in batch.column("brand").to_pylist()])
+                    rgb = np.full((n, SIDE * SIDE, 3), 240)
+                    for k, tone in enumerate((25 * digit[:, None] + np.where(y < SIDE // 2, 6, 0), (30 * (sizes % 6))[:, None], 90)):
+                        rgb[..., k] = np.where(inside[at_drawn], tone, 240)
+                    made["rgb"] = [r.tobytes() for r in rgb.astype(np.uint8)]
+                sides = {c: pa.array(np.full(n, SIDE, np.int32)) for c in ("width", "height")}
+                yield pa.RecordBatch.from_pydict({"image_id": batch.column("image_id")} | sides | {c: pa.array(made[c], pa.binary()) for c in kept})
+
+    return _parts(spark, sf_dir).mapInArrow(run, "image_id long, width int, height int" + "".join(f", {c} binary" for c in kept))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+from rastrel.config import ClassifyFirst, PrimitiveFirst
 from rastrel.operators import images
 from rastrel.plans import pipelines
 
@@ -38,3 +39,21 @@ def test_shapes_are_made_once_for_all_lines(spark):
     assert lines._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     for r in pipelines.color_svg(docs).collect():
         assert r.svg.count("<g ") == r.svg.count("</g>") == 1 and r.svg.index("<g ") < r.svg.index("<", r.svg.index("<g ") + 1) < r.svg.index("</g>")
+
+
+def test_documents_are_drawn_in_one_pass(spark):
+    """Nothing is shuffled or joined on the way to a document, and it is what shapes and markup columns make."""
+    y, x = np.mgrid[:40, :40]
+    ring_, box = ((x - 19) ** 2 + (y - 19) ** 2 <= 200) & ((x - 19) ** 2 + (y - 19) ** 2 > 50), (abs(x - 12) < 9) & (abs(y - 20) < 12)
+    masks = [ring_, box, ring_ & (x < 20), ring_ | box, np.zeros((40, 40), bool), ring_]
+    rows = [(k, 40, 40, m.astype(np.uint8).tobytes()) for k, m in enumerate(masks)] + [(9, 0, 0, None), (None, 40, 40, box.astype(np.uint8).tobytes())]
+    rasters = spark.createDataFrame(rows, "image_id long, width int, height int, data binary")
+    for s in (ClassifyFirst(stroke_color='"#123"', background="#fff"), PrimitiveFirst()):
+        got = pipelines.to_svg(rasters, s)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
+        found = {r.image_id: r.svg for r in got.collect()}
+        assert len(found) == len(rows) and found[0] == found[5] and found[None] == found[1]
+        named = rasters.where("image_id is not null")
+        want = {r.image_id: r.svg for r in pipelines._svg(pipelines.shapes(named, s), named, s, "image_id").collect()}
+        assert want == {k: v for k, v in found.items() if k is not None}
