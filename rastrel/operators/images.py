@@ -69,13 +69,20 @@ def binary(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(a, np.uint8).tobytes() for a in arrays], pa.binary())
 
 
-def map_planes(images: DataFrame, column: str, kernel: Callable[[np.ndarray], dict[str, Any]], schema: dict[str, tuple[str, pa.DataType]], key: str = KEY, channels: int = 1) -> DataFrame:
-    """(key, one column for each of schema): kernel's values of every image. schema: name -> (Spark type, Arrow type)."""
+def map_planes(images: DataFrame, column: str, kernel: Callable[[np.ndarray], dict[str, Any]], schema: dict[str, tuple[str, pa.DataType]], key: str = KEY, channels: int = 1, once: bool = False) -> DataFrame:
+    """(key, one column for each of schema): kernel's values of every image. schema: name -> (Spark type, Arrow type). once: equal
+    planes among 1024 rows are worked on once."""
     kind = images.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [kernel(p) for p in planes(batch, column, channels)]
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            known: dict = {}
+            rows = []
+            for k, p in enumerate(planes(batch, column, channels)):
+                own = (p.shape, p.tobytes()) if once else k
+                if own not in known:
+                    known[own] = kernel(p)
+                rows.append(known[own])
             yield pa.RecordBatch.from_pydict({key: batch.column(key)} | {n: pa.array([r[n] for r in rows], t) for n, (_, t) in schema.items()})
 
     return images.select(key, "width", "height", column).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} {s}" for n, (s, _) in schema.items()))
@@ -91,7 +98,7 @@ def masks(images: DataFrame, threshold: int | None = None, bias: int = 0, invert
         mask = raster.morphology(mask, steps)
         return {"width": mask.shape[1], "height": mask.shape[0], "data": np.ascontiguousarray(mask, np.uint8).tobytes()}
 
-    return map_planes(images, column, kernel, {"width": ("int", pa.int32()), "height": ("int", pa.int32()), "data": ("binary", pa.binary())}, key)
+    return map_planes(images, column, kernel, {"width": ("int", pa.int32()), "height": ("int", pa.int32()), "data": ("binary", pa.binary())}, key, once=True)
 
 
 def measures(held: DataFrame, key: str = KEY) -> DataFrame:

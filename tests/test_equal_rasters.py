@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from rastrel.config import ClassifyFirst, PrimitiveFirst
+from rastrel.kernels import raster
 from rastrel.operators import images
 from rastrel.plans import pipelines
 
@@ -57,3 +58,16 @@ def test_documents_are_drawn_in_one_pass(spark):
         named = rasters.where("image_id is not null")
         want = {r.image_id: r.svg for r in pipelines._svg(pipelines.shapes(named, s), named, s, "image_id").collect()}
         assert want == {k: v for k, v in found.items() if k is not None}
+
+
+def test_equal_planes_of_a_batch_are_masked_once(spark):
+    grey = np.random.default_rng(5).integers(0, 256, (3, 6, 6)).astype(np.uint8)
+    rows = [(k, 6, 6, grey[k % 3].tobytes()) for k in range(30)] + [(30, 6, 6, None), (31, 9, 4, grey[0].tobytes())]
+    frame = spark.createDataFrame(rows, "image_id long, width int, height int, grey binary").coalesce(1)
+    found = {r.image_id: r for r in images.masks(frame).collect()}
+    for k in range(30):
+        assert found[k].data == raster.foreground(grey[k % 3]).astype(np.uint8).tobytes()
+    assert (found[30].width, len(found[30].data), found[31].width, found[31].height, len(found[31].data)) == (0, 0, 9, 4, 36)
+    calls = []
+    numbers = images.map_planes(frame, "grey", lambda p: (calls.append(1), {"n": len(calls)})[1], {"n": ("long", pa.int64())}, once=True).collect()
+    assert len(numbers) == 32 and {r.n for r in numbers} == {1, 2, 3, 4, 5}
